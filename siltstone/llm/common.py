@@ -165,3 +165,44 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         if not change:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+# ---------------------------------------------------------------- fixed-size membership sketches
+
+#: Bits of a membership bitmap (8 MB), however large the data; one probe each.
+SKETCH_BITS = 1 << 26
+#: Keys up to which it is worth sending; beyond, the callers join instead.
+SKETCH_KEYS = SKETCH_BITS // 16
+
+
+def sketch(keys: DataFrame, limit: int = SKETCH_KEYS) -> np.ndarray | None:
+    """A bitmap of the single long column of ``keys`` for ``in_sketch``; None if there are more than ``limit`` keys.
+
+    It may say yes wrongly, never no, so it only thins out what a join or an exact step decides. The driver gets at
+    most SKETCH_BITS / 64 words, not the keys.
+    """
+    c = F.col(keys.columns[0])
+    if keys.count() > limit:
+        return None
+    at = F.shiftrightunsigned(F.xxhash64(c), 64 - SKETCH_BITS.bit_length() + 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    words = keys.select(F.shiftright(at, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(SKETCH_BITS // 64, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def in_sketch(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = xxhash64_long(keys) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def xxhash64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's ``xxhash64`` of a bigint column (the public XXH64 algorithm for 8 bytes), on arrays."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    turn = lambda v, n: v << np.uint64(n) | v >> np.uint64(64 - n)
+    h = np.full(len(x), np.uint64(seed) + p5 + np.uint64(8))
+    h = turn(h ^ turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
