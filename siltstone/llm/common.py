@@ -102,21 +102,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def hash_words(parts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word of all parts in order, number of words up to and with each part, led by 0)."""
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes."""
+    up, down = _powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_spans(parts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all parts, first byte of each word, its end, number of words up to and with each part, led by 0)."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     if lower:
         raw = _LOWER[raw]
-    space = _IS_SPACE[raw]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
+    edge = np.flatnonzero(np.diff(_IS_SPACE[raw], prepend=True))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    h = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    bounds = np.concatenate([[0], np.searchsorted(starts, np.cumsum(sizes + 1))])
-    return h, bounds
+    return raw, starts, ends, np.concatenate([[0], np.searchsorted(starts, np.cumsum(sizes + 1))])
+
+
+def hash_words(parts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word of all parts in order, number of words up to and with each part, led by 0)."""
+    raw, starts, ends, bounds = word_spans(parts, lower)
+    return hash_spans(raw, starts, ends), bounds
 
 
 def hash_runs(h: np.ndarray, n: int) -> np.ndarray:

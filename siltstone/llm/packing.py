@@ -45,8 +45,9 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, longest: int
             ids, parts = batch.column(0).to_pylist(), texts(batch.column(1))
             rows: list[tuple] = []
             for s, e in in_groups(parts):
-                for doc, raw in zip(ids[s:e], enc.encode(parts[s:e]), strict=True):
-                    x = np.append(np.frombuffer(raw, enc.dtype), end_id).astype("<u4")
+                found, reach = enc.encode(parts[s:e])
+                for doc, a, b in zip(ids[s:e], reach, reach[1:], strict=False):
+                    x = np.append(found[a:b], end_id).astype("<u4")
                     for k, at in enumerate(range(0, len(x), longest)):
                         part = x[at : at + longest]
                         rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))

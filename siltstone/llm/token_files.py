@@ -93,12 +93,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         enc = encoder(vocabulary)
         for batch in batches:
             parts = texts(batch.column(1))
-            raws = [r for s, e in in_groups(parts) for r in enc.encode(parts[s:e])]
+            raws: list[bytes] = []
+            for s, e in in_groups(parts):
+                found, reach = enc.encode(parts[s:e])
+                raws += [found[a:b].tobytes() for a, b in zip(reach, reach[1:], strict=False)]
             width = enc.dtype.itemsize
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.binary()), pa.array([len(r) // width for r in raws], pa.int64())], names=["doc_id", "ids", "n"])
 
     width = encoder(vocabulary).dtype
-    size = max(encoder(vocabulary).lib.get_vocab_size(), end_id + 1)
+    size = max(encoder(vocabulary).vocabulary, end_id + 1)
     raw = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokenize, "doc_id long, ids binary, n long"), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,28 +1,76 @@
 """Tokenising whole texts with the ``tokenizers`` library, fast enough for a corpus.
 
-Both supported vocabularies cut a text into pieces before any merge, and every cut used here is one that the
-tokenizer itself always makes, so the ids of a text are the ids of its pieces in a row. Repeated pieces are looked
-up; new ones of a batch are encoded by the library in one call and dealt back by their byte lengths. If the lengths
-don't add up (odd characters), or the tokenizer is of another kind, the library gets the pieces or texts one by one.
+Both supported kinds of vocabulary cut a text into pieces before any merge, and every cut used here is one that the
+tokenizer itself always makes, so the ids of a text are the ids of its pieces in a row. Pieces met before are looked
+up, all of a group of texts at once, by a 64-bit hash; the library encodes the new ones of the group in one call and
+their ids are dealt back by byte lengths. If the lengths don't add up (odd characters), or the tokenizer is of another
+kind, the library gets the pieces or texts one by one.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 
 import numpy as np
 
-#: Pieces kept by a worker before it starts afresh.
-CACHE_PIECES = 500_000
-#: A space before a character that certainly isn't white space starts a new piece of a byte-level vocabulary.
-_LEAD = re.compile(" (?=[!-~¡-ʯ])")
+from .common import hash_spans, word_spans
+
+#: Bytes that, behind a space, certainly start a character that isn't white space: printable ASCII, U+00C0 to U+02BF.
+_SOLID = np.zeros(256, bool)
+_SOLID[33:127] = True
+_SOLID[0xC3:0xCB] = True
+
+
+class Pieces:
+    """Ids by the hash of a piece: open addressing on arrays. Two pieces of one hash would be taken for each other;
+    with so many entries the odds are below 1e-12 for each look-up."""
+
+    def __init__(self, dtype: np.dtype, slot_bits: int = 22):
+        self.shift, self.size = np.uint64(64 - slot_bits), 1 << slot_bits
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.size, np.uint64)
+        self.start, self.length = np.zeros(self.size, np.int32), np.zeros(self.size, np.int32)
+        self.pool, self.used, self.count = np.zeros(1 << 20, self.dtype), 0, 0
+
+    def full(self) -> bool:
+        return self.count > self.size * 6 // 10 or self.used > self.size * 8
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        slot = (h >> self.shift).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == h, slot, -1)
+        todo = np.flatnonzero((key != h) & (key != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) % self.size
+            key = self.keys[slot[todo]]
+            out[todo[key == h[todo]]] = slot[todo[key == h[todo]]]
+            todo = todo[(key != h[todo]) & (key != 0)]
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """New, different hashes; piece i has the ids before ``ends[i]`` and behind the last one's."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        slot, todo = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]] = h[free]
+            todo = todo[self.keys[slot[todo]] != h[todo]]
+            slot[todo] = (slot[todo] + 1) % self.size
+        starts = np.concatenate([[0], ends[:-1]])
+        self.start[slot], self.length[slot] = starts + self.used, ends - starts
+        self.used, self.count = self.used + len(ids), self.count + len(h)
 
 
 class Encoder:
-    """``encode(parts)``: UTF-8 texts → little-endian ids of ``dtype``, as one bytes object for each text."""
+    """``encode(parts)``: UTF-8 texts → (their ids in a row, number of ids up to and with each text, led by 0)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,13 +80,14 @@ class Encoder:
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
+        self.vocabulary = self.lib.get_vocab_size()
+        self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.kind = self._kind(spec)
         ending = (spec["model"].get("end_of_word_suffix") or "") if self.kind == "words" else ""
-        self.size = np.zeros(self.lib.get_vocab_size(), np.int64)
+        self.size = np.zeros(self.vocabulary, np.int64)
         for token, i in spec["model"].get("vocab", {}).items() if self.kind else ():
             self.size[i] = len(token) - (len(ending) if ending and token.endswith(ending) else 0)
-        self.cache: dict = {}
+        self.pieces = Pieces(self.dtype)
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -52,49 +101,64 @@ class Encoder:
             return "words"
         return ""
 
-    def _ids(self, batch: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(batch, add_special_tokens=False)]
+    def _one_by_one(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.lib.encode_batch_fast(batch, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in found]) if found else np.zeros(0, np.int64)
+        return np.array([i for x in found for i in x], self.dtype), ends
 
-    def _learn(self, new: list) -> None:
-        if self.kind == "lead":
-            pieces = [" " + p for p in new]
-            lengths = [len(p.encode()) for p in pieces]
-            joined = "".join(pieces)
+    def _new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that the tokenizer keeps apart when they follow each other."""
+        words = self.kind == "words"
+        if words:
+            lengths = [len(p) if p.isascii() else len(unicodedata.normalize("NFC", p.decode()).lower().encode()) for p in pieces]
         else:
-            pieces = [p.decode() for p in new]
-            lengths = [len(p) if p.isascii() else len(unicodedata.normalize("NFC", s).lower().encode()) for p, s in zip(new, pieces, strict=True)]
-            joined = " ".join(pieces)
+            lengths = list(map(len, pieces))
+        joined = (b" " if words else b"").join(pieces).decode()
         ids = np.array(self.lib.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
-        ends, at = np.cumsum(self.size[ids]), np.cumsum(lengths)
-        cut = np.searchsorted(ends, at) + 1
-        if len(ends) and ends[-1] == at[-1] and (ends[cut - 1] == at).all():
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            cut = (cut * w).tolist()
-            self.cache.update(zip(new, (raw[a:b] for a, b in zip([0, *cut], cut, strict=False)), strict=False))
-        else:
-            self.cache.update(zip(new, self._ids(pieces), strict=True))
+        reach, at = np.cumsum(self.size[ids]), np.cumsum(lengths)
+        ends = np.searchsorted(reach, at) + 1
+        if len(reach) and reach[-1] == at[-1] and (reach[ends - 1] == at).all():
+            return ids, ends
+        return self._one_by_one([p.decode() for p in pieces])
 
-    def encode(self, parts: list[bytes]) -> list[bytes]:
+    def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not self.kind:
-            return self._ids([p.decode() for p in parts])
-        if self.kind == "lead":
-            split = [_LEAD.split(p.decode()) for p in parts]
-            first = self._ids([s.pop(0) for s in split])
+            ids, ends = self._one_by_one([p.decode() for p in parts])
+            return ids, np.concatenate([[0], ends])
+        if self.kind == "words":
+            raw, starts, ends, bounds = word_spans(parts)
         else:
-            split = [p.split() for p in parts]
-            first = [b""] * len(parts)
-        flat = [x for s in split for x in s]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        got = list(map(self.cache.get, flat))
-        if None in got:
-            self._learn(list(dict.fromkeys(x for x, v in zip(flat, got, strict=True) if v is None)))
-            got = list(map(self.cache.__getitem__, flat))
-        out, at = [], 0
-        for head, s in zip(first, split, strict=True):
-            out.append(head + b"".join(got[at : at + len(s)]))
-            at += len(s)
-        return out
+            raw, starts, ends, bounds = _lead_spans(parts)
+        h = hash_spans(raw, starts, ends)
+        h[h == 0] = 1
+        if self.pieces.full():
+            self.pieces.clear()
+        slot = self.pieces.find(h)
+        lost = np.flatnonzero(slot < 0)
+        if len(lost):
+            _, pick = np.unique(h[lost], return_index=True)
+            pick = lost[np.sort(pick)]
+            alone = raw[starts[pick]] != 32 if self.kind == "lead" else np.zeros(len(pick), bool)
+            text = raw.tobytes()
+            for some, get in ((pick[~alone], self._new), (pick[alone], lambda x: self._one_by_one([p.decode() for p in x]))):
+                if len(some):
+                    self.pieces.add(h[some], *get([text[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]))
+            slot = self.pieces.find(h)
+        n = self.pieces.length[slot].astype(np.int64)
+        reach = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(self.pieces.start[slot] - reach[:-1], n) + np.arange(reach[-1])
+        return self.pieces.pool[at], reach[bounds]
+
+
+def _lead_spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    reach = np.concatenate([[0], np.cumsum(sizes)])
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[: max(0, len(raw) - 1)] = (raw[:-1] == 32) & _SOLID[raw[1:]]
+    cut[reach] = True
+    edge = np.flatnonzero(cut)
+    return raw, edge[:-1], edge[1:], np.searchsorted(edge, reach)
 
 
 _encoders: dict[str, Encoder] = {}
