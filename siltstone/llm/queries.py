@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, token_files
+from . import jaccard_join, line_dedup, mixing, packing, substring_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,20 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, packing.Capacity(tokens=4096))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_passages(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=10)
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("row.text"), 256).alias("kept_sha256"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")), weights=(1, 2, 3), limit=3.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,7 +46,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_source_mixing": op10_source_mixing,
 }
 
