@@ -183,25 +183,25 @@ SKETCH_BITS = 1 << 26
 SKETCH_KEYS = SKETCH_BITS // 16
 
 
-def sketch(keys: DataFrame, limit: int = SKETCH_KEYS) -> np.ndarray | None:
+def sketch(keys: DataFrame, limit: int | None = None, bits: int = SKETCH_BITS) -> np.ndarray | None:
     """A bitmap of the single long column of ``keys`` for ``in_sketch``; None if there are more than ``limit`` keys.
 
     It may say yes wrongly, never no, so it only thins out what a join or an exact step decides. The driver gets at
-    most SKETCH_BITS / 64 words, not the keys.
+    most ``bits`` / 64 words, not the keys.
     """
     c = F.col(keys.columns[0])
-    if keys.count() > limit:
+    if keys.count() > (bits // 16 if limit is None else limit):
         return None
-    at = F.shiftrightunsigned(F.xxhash64(c), 64 - SKETCH_BITS.bit_length() + 1)
+    at = F.shiftrightunsigned(F.xxhash64(c), 64 - bits.bit_length() + 1)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
     words = keys.select(F.shiftright(at, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(SKETCH_BITS // 64, np.uint64)
+    out = np.zeros(bits // 64, np.uint64)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     return out
 
 
 def in_sketch(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = xxhash64_long(keys) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
+    at = xxhash64_long(keys) >> np.uint64(64 - (64 * len(bits)).bit_length() + 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
