@@ -1,18 +1,19 @@
 """Operator 7: language-model scoring by a probabilistic suffix tree over words.
 
-States are contexts of up to ``depth`` preceding words. A next word stays in a state if its count there diverges from
-what the parent state expects, a state stays if all that it says diverges enough; everything else is passed to the
-parent. What a state's words leave is shared by two classes, frequent words and all others, each in proportion to the
-parent's probabilities, and counts are smoothed by the parent as prior; so every state is a distribution.
+States are contexts of up to ``depth`` preceding words, of a probability of P_MIN or more. A next word stays in a state
+if its count there diverges from what the parent state expects, a state stays if all that it says diverges enough;
+everything else is passed to the parent. What a state's words leave is shared by two classes, frequent words (P_MIN or
+more) and all others, each in proportion to the parent's probabilities, and counts are smoothed by the parent as
+prior; so every state is a distribution.
 
 With P(w|s) = P(w|parent) * b(s, class) * d(s, w), d = 1 where the state doesn't hold w, the log probability of a text
-is a sum of table entries: log P0(w), log b(s, class) and log d(s, w) over the states along the suffix. Scoring is
-therefore a look-up: the most used entries (a fixed number) are sent to the executors, the rest is joined. No table
-has to fit anywhere, and what is counted, shuffled and kept grows with the corpus.
+is a sum of table entries: log P0(w), log b(s, class) and log d(s, w) over the states along the suffix. P_MIN bounds
+the frequent words and the states, so these go to every executor. Counts of words, and d, grow with the corpus: of
+these the most used entries (a fixed number) are sent, the rest is joined.
 """
-
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -24,20 +25,20 @@ from pyspark.sql import functions as F
 
 from .common import SKETCH_BITS, bound_batches, hash_words, in_groups, in_sketch, materialize, mix64, sketch, texts
 
-END, RARE = np.uint64(0x5EED0E4D), np.uint64(0x0DD5)
-#: Occurrences that make a word a frequent one, and a sequence of words a candidate for a state.
-FREQUENT = 32
+END = np.uint64(0x5EED0E4D)
+#: Least probability, and number, of a frequent word and of a state; so there are 1 / P_MIN of either at most.
+P_MIN, FREQUENT = 1e-5, 32
 #: Counts and gain (nats) that keep a word in a state; gain that keeps a state, and what each of its words costs.
 WORD_COUNT, WORD_GAIN, STATE_GAIN, WORD_COST = 4, 10.0, 20.0, 5.0
 #: Weight of the parent as a prior.
 PRIOR = 20.0
 #: Entries sent to every executor (16 bytes each).
-HEAD = 500_000
+HEAD = 400_000
 #: Events that a task counts together.
 COUNTED = 2_000_000
-#: Rows up to which the tables of states are broadcast for joins.
-SMALL = 300_000
 TAIL_BITS = 1 << 28
+#: Bits of a word's number in an event; 1 / P_MIN fits.
+WORD_BITS = 20
 
 
 def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,20 +53,6 @@ def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t, row, place
 
 
-def state(t: np.ndarray, depth: int) -> np.ndarray:
-    """Hash of the ``depth`` tokens before each token (meaningless for the first ones of a text)."""
-    s = np.zeros(len(t), np.uint64)
-    for k in range(depth, 0, -1):
-        s = mix64(s + np.concatenate([np.zeros(min(k, len(t)), np.uint64), t[:-k]]) + np.uint64(k == depth))
-    return s
-
-
-def entry_keys(s: np.ndarray, w: np.ndarray | None, which: str) -> np.ndarray:
-    salt = np.uint64({"frequent": 0xF1, "rare": 0xF2, "word": 0xF3}[which])
-    k = mix64(s + salt)
-    return k if w is None else mix64(k + w)
-
-
 class Index:
     """Positions of 64-bit keys by open addressing on arrays."""
 
@@ -95,20 +82,28 @@ class Index:
 _indexes: dict[str, Index] = {}
 
 
-def _counted(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Counts of equal rows (known by their first column), passed on in portions."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _index(name: str, keys: np.ndarray) -> Index:
+    """The worker's index of some keys that are sent; those of another model go."""
+    if name not in _indexes:
+        for old in [k for k in _indexes if k.split("/")[0] != name.split("/")[0]]:
+            del _indexes[old]
+        _indexes[name] = Index(keys)
+    return _indexes[name]
+
+
+def _counted(events: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(e, c): counts of equal events, passed on in portions."""
+    held: list[np.ndarray] = []
 
     def portion() -> pa.RecordBatch:
-        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        e, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        _, first, n = np.unique(cols[0], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in cols[-len(names) + 1 :]), pa.array(n)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n)], names=["e", "c"])
 
     size = 0
-    for r in rows:
-        held.append(r)
-        size += len(r[0])
+    for x in events:
+        held.append(x)
+        size += len(x)
         if size > COUNTED:
             yield portion()
             size = 0
@@ -116,27 +111,46 @@ def _counted(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterat
         yield portion()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
-def _frequent(table: DataFrame, key: str, least: int) -> tuple[np.ndarray, int]:
-    """Bitmap of keys counted ``least`` times; twice as often, again and again, as long as there are too many."""
-    while (bits := sketch(table.where(F.col("c") >= least).select(key))) is None:
-        least *= 2
-    return bits, least
+class Frame:
+    """What every executor holds of a model, bounded by P_MIN: the frequent words' hashes, and for each depth beyond
+    the first the states, each as (state of all but its last word, number of the last word)."""
+
+    def __init__(self, words: np.ndarray):
+        self.name, self.words, self.longer = uuid.uuid4().hex, words, []
+
+    def numbers(self, t: np.ndarray) -> np.ndarray:
+        """Each token's number; that behind the last for all that aren't frequent."""
+        at = _index(f"{self.name}/0", self.words).find(t)
+        return np.where(at < 0, len(self.words), at)
+
+    def states(self, number: np.ndarray, t: np.ndarray, place: np.ndarray, depth: int) -> list[np.ndarray]:
+        """For each depth the state of the words before each token, or -1."""
+        before = np.roll(number, 1)
+        out = [np.where((place >= 1) & (before < len(self.words)) & (np.roll(t, 1) != END), before, -1)]
+        for level in range(2, depth + 1):
+            shorter = np.roll(out[-1], 1)
+            ok = (place >= level) & (shorter >= 0) & (out[0] >= 0)
+            at = np.full(len(t), -1, np.int64)
+            at[ok] = _index(f"{self.name}/{level}", self.longer[level - 2]).find((shorter[ok] << WORD_BITS | before[ok]).astype(np.uint64))
+            out.append(at)
+        return out
 
 
 class Tree:
-    """The fitted model: ``entries`` (key, kind, value, weight; kind 0: a word), tokens N, distinct V, and the bitmaps
-    of frequent words and of candidate states for each depth beyond the first."""
+    """The fitted model: ``entries`` (key, kind, value, weight; kind 0: a word, 2: a state's word), the number of
+    training tokens and of distinct ones, the frame, and of each depth's states log10 b for frequent and other words
+    (0 for states that aren't kept) and whether they are kept."""
 
-    def __init__(self, spark: SparkSession, entries: DataFrame, n: int, v: int, bitmaps: list[np.ndarray]):
-        self.spark, self.entries, self.n, self.v, self.bitmaps = spark, entries, n, v, bitmaps
+    def __init__(self, spark: SparkSession, entries: DataFrame, n: int, v: int, frame: Frame, shares: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.spark, self.entries, self.n, self.v, self.frame, self.shares = spark, entries, n, v, frame, shares
 
     @property
     def depth(self) -> int:
-        return len(self.bitmaps)
+        return len(self.shares)
+
+
+def word_keys(level: int, state: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mix64((state << WORD_BITS | number).astype(np.uint64) + np.uint64(level << 48))
 
 
 def fit(train: DataFrame, depth: int = 2, *, text_col: str = "text") -> Tree:
@@ -151,102 +165,88 @@ def fit(train: DataFrame, depth: int = 2, *, text_col: str = "text") -> Tree:
             for s, e in in_groups(parts):
                 yield tokens(parts[s:e])
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counted(((t,) for t, _, _ in groups(batches)), ["w", "c"])
-
-    unigrams = materialize(d.mapInArrow(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
+    unigrams = materialize(d.mapInArrow(lambda it: _counted(t for t, _, _ in groups(it)), "e long, c long").groupBy("e").agg(F.sum("c").alias("c")), "unigrams")
     n, v = (int(x or 0) for x in unigrams.agg(F.sum("c"), F.count("*")).first())
-    z = n + v + 1
-    bits, _ = _frequent(unigrams, "w", FREQUENT)
-    bitmaps = [bits]
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(in_sketch(bits, b.column(0).to_numpy())))
-
-    symbols = materialize(unigrams.mapInArrow(pick, "w long, c long").select("w", F.log((F.col("c") + 1) / F.lit(float(z))).alias("p0")), "symbols")
-    frequent = symbols.agg(F.sum(F.exp("p0"))).first()[0] or 0.0
-    rare = float(np.log(max(1.0 - frequent, 1e-12)))
-    known = symbols.union(spark.createDataFrame([(int(RARE), rare)], "w long, p0 double"))
-    kinds = [unigrams.select(F.col("w").alias("s"), F.lit(None).cast("long").alias("w"), F.lit(0).alias("kind"), F.log10(F.col("c") + 1).alias("x"), F.lit(None).cast("double").alias("y"), F.col("c").alias("weight"))]
-    states = held = None  # of the level before: (s, bf, br), (s, w, d)
+    z, least = n + v + 1, max(FREQUENT, math.ceil(P_MIN * n))
+    often = unigrams.where(F.col("c") >= least).toArrow()  # 1 / P_MIN rows at most
+    words, counts = often.column("e").to_numpy().view(np.uint64), often.column("c").to_numpy()
+    order = np.argsort(words)
+    words, counts = words[order], counts[order]
+    frame, rare_number = Frame(words), len(words)
+    p0 = np.log((counts + 1) / z)
+    rare = float(np.log(max(1 - np.exp(p0).sum(), 1e-12)))
+    known = spark.createDataFrame(pa.table({"w": pa.array([*range(rare_number), rare_number], pa.int64()), "p0": pa.array([*p0, rare], pa.float64())}))
+    tenth = float(np.log(10))
+    entries = unigrams.select(F.col("e").alias("key"), F.lit(0).alias("kind"), F.log10(F.col("c") + 1).alias("value"), F.col("c").alias("weight"))
+    shares: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[DataFrame] = []  # of each level: anc_<level>, w, d
+    total, above = counts, []  # of the level's states: how often they occur, and their ancestors level by level
     for level in range(1, depth + 1):
-        sent = spark.sparkContext.broadcast(list(bitmaps))
+        sent = spark.sparkContext.broadcast(frame)
 
         def events(batches: Iterator[pa.RecordBatch], level: int = level, sent=sent) -> Iterator[pa.RecordBatch]:
-            def rows() -> Iterator[tuple[np.ndarray, ...]]:
+            def found() -> Iterator[np.ndarray]:
+                f = sent.value
                 for t, _, place in groups(batches):
-                    often = in_sketch(sent.value[0], t.view(np.int64))
-                    s = state(t, level)
-                    here = place >= level
-                    here[1:] &= often[:-1]
-                    if level > 1:
-                        here &= in_sketch(sent.value[level - 1], s.view(np.int64))
-                    w = np.where(often, t, RARE)[here]
-                    yield entry_keys(s[here], w, "word"), s[here], state(t, level - 1)[here], w
-
-            yield from _counted(rows(), ["s", "parent", "w", "c"])
-
-        counts = materialize(d.mapInArrow(events, "s long, parent long, w long, c long").groupBy("s", "parent", "w").agg(F.sum("c").alias("c")), "events")
-        totals = materialize(counts.groupBy("s", "parent").agg(F.sum("c").alias("n")).where(F.col("n") >= FREQUENT), "contexts")
-        e = counts.join(_small(totals.select("s", "n")), "s").join(_small(known), "w")
-        if states is None:
-            e = e.withColumn("p", F.col("p0"))
-        else:
-            up = states.select(F.col("s").alias("parent"), "bf", "br")
-            e = e.join(_small(up), "parent", "left").join(held.select(F.col("s").alias("parent"), "w", "d"), ["parent", "w"], "left")
-            e = e.withColumn("p", F.col("p0") + F.coalesce(F.when(F.col("w") == int(RARE), F.col("br")).otherwise(F.col("bf")), F.lit(0.0)) + F.coalesce("d", F.lit(0.0))).drop("bf", "br", "d")
-        kept = (F.col("w") != int(RARE)) & (F.col("c") >= WORD_COUNT) & (F.col("c") * (F.log(F.col("c") / F.col("n")) - F.col("p")) >= WORD_GAIN)
-        e = materialize(e.select("s", "parent", "w", "c", "n", "p", kept.alias("kept")), "expected")
-        sums = e.groupBy("s", "parent", "n").agg(
-            F.sum(F.when(F.col("kept"), F.col("c")).otherwise(0)).alias("ck"),
-            F.sum(F.when(F.col("kept"), F.exp("p")).otherwise(0.0)).alias("pk"),
-            F.sum(F.when(F.col("w") == int(RARE), F.col("c")).otherwise(0)).alias("cr"),
-            F.count(F.when(F.col("kept"), 1)).alias("words"),
-            F.sum(F.when(F.col("kept"), F.col("c") * (F.log((F.col("c") + PRIOR * F.exp("p")) / (F.col("n") + PRIOR)) - F.col("p"))).otherwise(0.0)).alias("gain"),
-        )
-        if states is None:
-            sums = sums.withColumn("pr", F.lit(float(np.exp(rare))))
-        else:
-            sums = sums.join(_small(states.select(F.col("s").alias("parent"), "br")), "parent", "left").withColumn("pr", F.lit(float(np.exp(rare))) * F.exp(F.coalesce("br", F.lit(0.0)))).drop("br")
-        other_c, other_p = F.col("n") - F.col("ck") - F.col("cr"), F.greatest(1 - F.col("pk") - F.col("pr"), F.lit(1e-9))
-        share = lambda c, p: F.log((c + PRIOR * p) / ((F.col("n") + PRIOR) * p))
-        sums = sums.withColumn("bf", share(other_c, other_p)).withColumn("br", share(F.col("cr"), F.col("pr")))
-        gain = F.col("gain") + other_c * F.col("bf") + F.col("cr") * F.col("br")
-        states = materialize(sums.where(gain >= STATE_GAIN + WORD_COST * F.col("words")).select("s", "n", "bf", "br"), "states")
-        d_log = F.log((F.col("c") + PRIOR * F.exp("p")) / (F.col("n") + PRIOR)) - F.col("p") - F.col("bf")
-        held = materialize(e.where("kept").join(_small(states.select("s", "bf")), "s").select("s", "w", d_log.alias("d"), "c"), "words-of-states")
-        tenth = float(np.log(10))
-        kinds.append(states.select("s", F.lit(None).cast("long").alias("w"), F.lit(1).alias("kind"), (F.col("bf") / tenth).alias("x"), (F.col("br") / tenth).alias("y"), F.col("n").alias("weight")))
-        kinds.append(held.select("s", "w", F.lit(2).alias("kind"), (F.col("d") / tenth).alias("x"), F.lit(None).cast("double").alias("y"), F.col("c").alias("weight")))
+                    number = f.numbers(t)
+                    s = f.states(number, t, place, level)[-1]
+                    yield (s[s >= 0] << WORD_BITS | number[s >= 0]).astype(np.uint64)
+
+            return _counted(found())
+
+        seen = d.mapInArrow(events, "e long, c long").groupBy("e").agg(F.sum("c").alias("c"))
+        seen = seen.select(F.shiftright("e", WORD_BITS).alias("s"), F.col("e").bitwiseAND((1 << WORD_BITS) - 1).alias("w"), "c")
+        # what can't stay in a state is told by its total
+        seen = materialize(seen.where((F.col("c") >= WORD_COUNT) | (F.col("w") == rare_number)), "events")
+        base = [sum((x[k][anc] for x, anc in zip(shares, above, strict=True)), np.zeros(len(total))) * tenth for k in (0, 1)]
+        rare_above = rare + base[1]
+        table = {"s": pa.array(np.arange(len(total))), "n": pa.array(total), "bf": pa.array(base[0]), "br": pa.array(base[1])}
+        table |= {f"anc_{i + 1}": pa.array(anc) for i, anc in enumerate(above)}
+        e = seen.join(F.broadcast(spark.createDataFrame(pa.table(table))), "s").join(F.broadcast(known), "w")
+        p = F.col("p0") + F.when(F.col("w") == rare_number, F.col("br")).otherwise(F.col("bf"))
+        for i, h in enumerate(held):
+            e = e.join(h, [f"anc_{i + 1}", "w"], "left")
+            p = p + F.coalesce(f"d_{i + 1}", F.lit(0.0))
+        stays = (F.col("w") != rare_number) & (F.col("c") * (F.log(F.col("c") / F.col("n")) - F.col("p")) >= WORD_GAIN)
+        e = materialize(e.withColumn("p", p).select("s", "w", "c", "n", "p", stays.alias("stays")), "expected")
+        when = lambda x, none: F.when(F.col("stays"), x).otherwise(none)
+        own = F.log((F.col("c") + PRIOR * F.exp("p")) / (F.col("n") + PRIOR)) - F.col("p")
+        sums = e.groupBy("s").agg(F.sum(when(F.col("c"), 0)).alias("c"), F.sum(when(F.exp("p"), 0.0)).alias("p"), F.sum(F.when(F.col("w") == rare_number, F.col("c")).otherwise(0)).alias("r"), F.count(when(F.lit(1), None)).alias("k"), F.sum(when(F.col("c") * own, 0.0)).alias("g")).toArrow()  # a row a state
+        at = sums.column("s").to_numpy()
+        c, q, r, k, g = (np.zeros(len(total)) for _ in range(5))
+        for x, name in ((c, "c"), (q, "p"), (r, "r"), (k, "k"), (g, "g")):
+            x[at] = sums.column(name).to_numpy()
+        p_rare = np.exp(rare_above)
+        others, p_others = total - c - r, np.maximum(1 - q - p_rare, 1e-9)
+        bf = np.log((others + PRIOR * p_others) / ((total + PRIOR) * p_others))
+        br = np.log((r + PRIOR * p_rare) / ((total + PRIOR) * p_rare))
+        kept = g + others * bf + r * br >= STATE_GAIN + WORD_COST * k
+        shares.append((np.where(kept, bf, 0) / tenth, np.where(kept, br, 0) / tenth, kept))
+        states = spark.createDataFrame(pa.table({"s": pa.array(np.flatnonzero(kept)), "b": pa.array(bf[kept])}))
+        mine = materialize(e.where("stays").join(F.broadcast(states), "s").select("s", "w", (own - F.col("b")).alias("d"), "c"), "words-of-states")
+        held.append(mine.select(F.col("s").alias(f"anc_{level}"), "w", F.col("d").alias(f"d_{level}")))
+
+        def keyed(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key = word_keys(level, b.column(0).to_numpy(), b.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), 2, np.int32)), pa.array(b.column(2).to_numpy() / tenth), b.column(3)], names=["key", "kind", "value", "weight"])
+
+        entries = entries.union(mine.mapInArrow(keyed, "key long, kind int, value double, weight long"))
         if level < depth:
-            # sequences one word longer, among frequent words, that occur often enough
-            def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    s, w = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(extend(s, w).view(np.int64)), b.column(2)], names=["s", "c"])
-
-            more = materialize(counts.where((F.col("w") != int(RARE)) & (F.col("w") != int(END)) & (F.col("c") >= FREQUENT)).select("s", "w", "c").mapInArrow(longer, "s long, c long"), "longer")
-            bitmaps.append(_frequent(more, "s", FREQUENT)[0])
-
-    table = kinds[0]
-    for k in kinds[1:]:
-        table = table.union(k)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s, w = (b.column(k).fill_null(0).to_numpy().view(np.uint64) for k in (0, 1))
-            kind, x, y, weight = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5))
-            for m, key, value in ((kind == 0, s, x), (kind == 1, entry_keys(s, None, "frequent"), x), (kind == 1, entry_keys(s, None, "rare"), y), (kind == 2, entry_keys(s, w, "word"), x)):
-                if m.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(key[m].view(np.int64)), pa.array(kind[m].astype(np.int32)), pa.array(value[m]), pa.array(weight[m])], names=["key", "kind", "value", "weight"])
-
-    return Tree(spark, materialize(table.mapInArrow(keys, "key long, kind int, value double, weight long"), "entries"), n, v, bitmaps)
+            end = np.flatnonzero(words == END)
+            more = seen.where((F.col("c") >= least) & (F.col("w") != rare_number) & ~F.col("w").isin(end.tolist())).toArrow()  # 1 / P_MIN rows at most
+            s, w, total = (more.column(x).to_numpy() for x in ("s", "w", "c"))
+            above = [w] if level == 1 else [*(anc for anc in _ancestors(frame, above, s, w))]
+            frame.longer.append((s << WORD_BITS | w).astype(np.uint64))
+    return Tree(spark, materialize(entries, "entries"), n, v, frame, shares)
 
 
-def extend(s: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The state of a state's words and one more: ``state`` is a chain of which only the first link is marked."""
-    return mix64(s + w)
+def _ancestors(frame: Frame, above: list[np.ndarray], s: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """Of the states (s, w), s of the level before with ancestors ``above``: the states without their first words."""
+    out = [w]
+    for i, anc in enumerate(above):
+        out.append(Index(frame.longer[i]).find((anc[s] << WORD_BITS | w).astype(np.uint64)))
+    return out
 
 
 def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,27 +257,26 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
     spark = docs.sparkSession
     bound_batches(spark)
     top = tree.entries.orderBy(F.desc("weight"), "key").limit(head).toArrow()
-    keys, kind, value = (top.column(c).to_numpy() for c in ("key", "kind", "value"))
-    ranked = tree.entries.join(F.broadcast(spark.createDataFrame(top.select(["key"]))), "key", "left_anti") if head < 2_000_000 else tree.entries
-    tail = materialize(ranked.select("key", "kind", "value"), "tail-entries")
+    keys, kind, value, weight = (top.column(c).to_numpy() for c in ("key", "kind", "value", "weight"))
+    tail = tree.entries.select("key", "kind", "value", "weight")
+    if len(keys):
+        at = np.lexsort((keys, -weight))[-1]
+        tail = tail.where((F.col("weight") < int(weight[at])) | (F.col("weight") == int(weight[at])) & (F.col("key") > int(keys[at])))
     bits = sketch(tail.select("key"), bits=TAIL_BITS if tail.count() > SKETCH_BITS // 16 else SKETCH_BITS)
-    sent = spark.sparkContext.broadcast((keys.view(np.uint64), kind, value, bits, tree.bitmaps))
-    floor, depth, serial = float(np.log10(tree.n + tree.v + 1)), tree.depth, uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast((keys.view(np.uint64), kind, value, bits, tree.frame, tree.shares))
+    floor, depth = float(np.log10(tree.n + tree.v + 1)), tree.depth
     names = ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, kind, value, bits, bitmaps = sent.value
-        if serial not in _indexes:
-            _indexes.clear()
-            _indexes[serial] = Index(keys)
-        index, rid = _indexes[serial], TaskContext.get().partitionId() << 40
+        keys, kind, value, bits, frame, shares = sent.value
+        index, rid = _index(f"{frame.name}/head{len(keys)}", keys), TaskContext.get().partitionId() << 40
         value, word = np.append(value, 0.0), np.append(kind == 0, False)
 
         def look(k: np.ndarray, row: np.ndarray, m: int, rest: list) -> tuple[np.ndarray, np.ndarray]:
             at = index.find(k)
-            lost = at < 0
+            lost = np.flatnonzero(at < 0)
             if bits is not None:
-                lost &= in_sketch(bits, k.view(np.int64))
+                lost = lost[in_sketch(bits, k[lost].view(np.int64))]
             rest.append((row[lost], k[lost]))
             return np.bincount(row, weights=value[at], minlength=m), np.bincount(row, weights=word[at], minlength=m)
 
@@ -289,16 +288,15 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
                 base, known = look(t, row, m, rest)
                 base -= np.bincount(row, minlength=m) * floor
                 total = base.copy()
-                often = in_sketch(bitmaps[0], t.view(np.int64))
-                for level in range(1, depth + 1):
-                    st = state(t, level)
-                    here = place >= level
-                    here[1:] &= often[:-1]
-                    if level > 1:
-                        here &= in_sketch(bitmaps[level - 1], st.view(np.int64))
-                    x, o, r = st[here], often[here], row[here]
-                    total += look(np.where(o, entry_keys(x, None, "frequent"), entry_keys(x, None, "rare")), r, m, rest)[0]
-                    total += look(entry_keys(x[o], t[here][o], "word"), r[o], m, rest)[0]
+                number = frame.numbers(t)
+                for level, st in enumerate(frame.states(number, t, place, depth), 1):
+                    bf, br, kept = shares[level - 1]
+                    here = np.flatnonzero(st >= 0)
+                    here = here[kept[st[here]]]
+                    x, w, r = st[here], number[here], row[here]
+                    o = w < len(frame.words)
+                    total += np.bincount(r, weights=np.where(o, bf[x], br[x]), minlength=m)
+                    total += look(word_keys(level, x[o], w[o]), r[o], m, rest)[0]
                 who, what = (np.concatenate(c) for c in zip(*rest, strict=True))
                 order = np.argsort(who, kind="stable")
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=m))])
@@ -309,6 +307,6 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     part = materialize(d.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, rest array<long>"), "scores")
-    rest = part.select("rid", F.explode("rest").alias("key")).join(tail, "key").groupBy("rid").agg(F.sum(F.when(F.col("kind") == 0, F.col("value")).otherwise(0.0)).alias("words"), F.sum("value").alias("all"), F.count(F.when(F.col("kind") == 0, 1)).alias("more"))
+    rest = part.select("rid", F.explode("rest").alias("key")).join(tail.drop("weight"), "key").groupBy("rid").agg(F.sum(F.when(F.col("kind") == 0, F.col("value")).otherwise(0.0)).alias("words"), F.sum("value").alias("all"), F.count(F.when(F.col("kind") == 0, 1)).alias("more"))
     out = part.drop("rest").join(rest, "rid", "left")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base_score") + F.coalesce("words", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("all", F.lit(0.0))).alias("score"))
