@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,7 @@ def readable(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         df = spark.read.parquet(path)
         return None if df.isEmpty() else df
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return None
 
 
