@@ -141,14 +141,14 @@ def dedup_passages(docs: DataFrame, window: int = 50, gram: int = 16, *, id_col:
 
     A window of ``window`` successive words goes if the same words also start in a document with a smaller id,
     judged on the input. Null texts have no words; a null id is larger than all others; rows sharing an id are one
-    document, so repeated rows don't remove each other. Texts shorter than a window stay. ``sketch_keys``: keys up
+    document (of which each row has its own text), so repeated rows don't remove each other. Texts shorter than a window stay. ``sketch_keys``: keys up
     to which bitmaps are sent to spare a join (tests set 0).
     """
     spark = docs.sparkSession
     bound_batches(spark)
     gram = min(gram, window)
     limit = {} if sketch_keys is None else {"limit": sketch_keys}
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("of"))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +164,7 @@ def dedup_passages(docs: DataFrame, window: int = 50, gram: int = 16, *, id_col:
     bits = sketch(shared, **limit)
     if bits is None:
         lists = anchors.join(shared, "a").groupBy("id").agg(F.collect_set("a").alias("anchors"))
-        d_near, known = d.join(lists, "id"), None
+        d_near, known = d.join(lists, "id").select("id", "text", "of", "anchors"), None
     else:
         d_near, known = d, spark.sparkContext.broadcast(bits)
 
@@ -178,17 +178,18 @@ def dedup_passages(docs: DataFrame, window: int = 50, gram: int = 16, *, id_col:
                     near = in_sketch(known.value, g[at].view(np.int64))
                 else:
                     near = np.zeros(len(first), bool)
-                    for i, own in enumerate(b.column(2).slice(s, e - s).to_pylist()):
+                    for i, own in enumerate(b.column(3).slice(s, e - s).to_pylist()):
                         m = doc == i
                         near[m] = np.isin(g[at[m]].view(np.int64), np.array(own, np.int64))
                 first, doc = first[near], doc[near]
                 wh = hash_runs(h, window)[first] if len(first) else np.zeros(0, np.uint64)
-                yield _batch(["w", "id", "first"], [mix64(wh + np.uint64(1)).view(np.int64), ids[doc], (first - bounds[doc]).astype(np.int32)])
+                of = b.column(2).to_numpy()[s:e]
+                yield _batch(["w", "id", "of", "first"], [mix64(wh + np.uint64(1)).view(np.int64), ids[doc], of[doc], (first - bounds[doc]).astype(np.int32)])
 
-    seen = d_near.mapInArrow(windows, "w long, id long, first int")
+    seen = d_near.mapInArrow(windows, "w long, id long, of long, first int")
     owned = seen.groupBy("w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w", "low")
     # first word and owner packed in one list for each document
-    marks = materialize(seen.join(owned, "w").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("first", "low"))).alias("marks")).select("id", "marks.first", "marks.low"), "marks")
+    marks = materialize(seen.join(owned, "w").groupBy("id", "of").agg(F.sort_array(F.collect_set(F.struct("first", "low"))).alias("marks")).select("id", "of", "marks.first", "marks.low"), "marks")
     doc_bits = sketch(marks.select("id"), **limit)
     held = None if doc_bits is None else spark.sparkContext.broadcast(doc_bits)
 
@@ -196,41 +197,41 @@ def dedup_passages(docs: DataFrame, window: int = 50, gram: int = 16, *, id_col:
         for b in batches:
             yield b if held is None else b.filter(pa.array(in_sketch(held.value, b.column(0).to_numpy())))
 
-    some = d.mapInArrow(marked, "id long, text string")
+    some = d.mapInArrow(marked, "id long, text string, of long")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, text, first, low in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for doc, text, of, first, low in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 words = text.split()
                 f, o = np.array(first), np.array(low)
                 cut = np.flatnonzero((np.diff(f) != 1) | (np.diff(o) != 0)) + 1
                 for s, e in zip([0, *cut], [*cut, len(f)], strict=True):
-                    rows.append((int(o[s]), doc, int(f[s]), b" ".join(words[f[s] : f[e - 1] + window]).decode()))
+                    rows.append((int(o[s]), doc, of, int(f[s]), b" ".join(words[f[s] : f[e - 1] + window]).decode()))
             if rows:
-                yield _batch(["owner", "id", "at", "passage"], [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)])
+                yield _batch(["owner", "id", "of", "at", "passage"], [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)])
 
-    found = materialize(some.join(marks, "id").mapInArrow(passages, "owner long, id long, at int, passage string"), "passages")
+    found = materialize(some.join(marks, ["id", "of"]).select("id", "text", "of", "first", "low").mapInArrow(passages, "owner long, id long, of long, at int, passage string"), "passages")
     asked = found.where("id > owner")
     load = asked.groupBy("owner").agg(F.ceil(F.count("*") / TASK_PASSAGES).cast("int").alias("copies"), F.count("*").alias("n"))
     load = materialize(load, "owners")
     total = load.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // TASK_PASSAGES))
     shard = F.pmod(F.xxhash64("owner"), F.lit(shards))
-    asked = asked.join(load, "owner").select(shard.alias("shard"), F.pmod(F.xxhash64("id", "at"), F.col("copies")).cast("int").alias("copy"), F.col("id").alias("asker"), "at", F.col("passage").alias("asked"))
+    asked = asked.join(load, "owner").select(shard.alias("shard"), F.pmod(F.xxhash64("id", "at"), F.col("copies")).cast("int").alias("copy"), F.col("id").alias("asker"), "of", "at", F.col("passage").alias("asked"))
     holds = found.where("id = owner").dropDuplicates(["owner", "passage"]).join(load, "owner").select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("id").alias("holder"), F.col("passage").alias("held"))
 
     def stream(queries: pa.Table, refs: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if queries.num_rows and refs.num_rows:
             a = Automaton([(i, t.split()) for i, t in zip(refs.column("holder").to_pylist(), texts(refs.column("held").combine_chunks()), strict=True)])
-            for i, at, t in zip(queries.column("asker").to_pylist(), queries.column("at").to_pylist(), texts(queries.column("asked").combine_chunks()), strict=True):
-                out += [(i, at + s, at + e) for s, e in a.spans(t.split(), i, window)]
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["id", "first", "end"])
+            for i, of, at, t in zip(queries.column("asker").to_pylist(), queries.column("of").to_pylist(), queries.column("at").to_pylist(), texts(queries.column("asked").combine_chunks()), strict=True):
+                out += [(i, of, at + s, at + e) for s, e in a.spans(t.split(), i, window)]
+        cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["id", "of", "first", "end"])
 
-    spans = asked.groupBy("shard", "copy").cogroup(holds.groupBy("shard", "copy")).applyInArrow(stream, "id long, first long, end long")
-    spans = spans.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans")).select("id", "spans.first", "spans.end")
+    spans = asked.groupBy("shard", "copy").cogroup(holds.groupBy("shard", "copy")).applyInArrow(stream, "id long, of long, first long, end long")
+    spans = spans.groupBy("id", "of").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans")).select("id", "of", "spans.first", "spans.end")
 
     schema = "doc_id long, text string, n_words long, n_removed long, spans array<struct<first: long, end: long>>"
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
@@ -262,5 +263,5 @@ def dedup_passages(docs: DataFrame, window: int = 50, gram: int = 16, *, id_col:
             b = b.filter(pa.array(~in_sketch(held.value, b.column(0).to_numpy())))
             yield kept((i, t, None, None) for i, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True))
 
-    touched = some.join(spans, "id", "left").mapInArrow(finish, schema)
+    touched = some.join(spans, ["id", "of"], "left").select("id", "text", "first", "end").mapInArrow(finish, schema)
     return touched if held is None else touched.union(d.mapInArrow(untouched, schema))
