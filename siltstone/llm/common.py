@@ -7,6 +7,7 @@ these six characters, so Python and JVM code agree.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -147,6 +148,16 @@ def in_groups(parts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, in
         size += len(x)
     if start < len(parts):
         yield start, len(parts)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Free memory of a Python worker goes back to the machine: the JVM beside it needs it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 # ---------------------------------------------------------------- connected components
