@@ -2,8 +2,8 @@
 
 Equal vectors are one node. Nodes are dealt to overlapping clusters of their label (the OVERLAP nearest centres, fit
 on a bounded sample; every node is indexed). A task builds a shard's graph: each node's nearest ones, thinned by
-robust pruning, and reverse edges. A node's lists from all its shards are united. Then every node searches the shards
-that it is dealt to, greedily from the medoid, and once inside the range expands everything in it. What it reaches is
+robust pruning, and reverse edges. A node's lists from all its shards are united. Then every node searches the shard
+of its nearest centre, greedily from the medoid, and once inside the range expands everything in it. What it reaches is
 compared in double precision. A cluster larger than a task should hold is cut into blocks, and each block of queries
 searches each block's graph.
 """
@@ -22,7 +22,7 @@ from .common import components, materialize
 #: Vectors from which centres are fit.
 SAMPLE = 20_000
 #: Nodes that a cluster should have, and that a block of one may have.
-CELL, BLOCK = 800, 2000
+CELL, BLOCK = 300, 2000
 OVERLAP = 3
 DEGREE, POOL, BEAM, ALPHA = 24, 64, 32, 1.2
 
@@ -141,23 +141,23 @@ def near_links(nodes: DataFrame, least: float) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             labels, dims = b.column(1).to_pylist(), b.column(3).to_pylist()
-            row, cell = [], []
+            row, cell, first = [], [], []
             by: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(labels, dims, strict=True)):
                 by.setdefault(key, []).append(i)
             for key, at in by.items():
                 c = sent.value.get(key)
-                if c is None or len(c) <= OVERLAP:
-                    near = np.broadcast_to(np.arange(1 if c is None else len(c)), (len(at), 1 if c is None else len(c)))
-                    near = near[:, :1] if c is None or len(c) == 1 else near
-                else:
-                    near = np.argpartition(-(_unit(_matrix(b.column(2).take(pa.array(at)))) @ c.T), OVERLAP - 1, axis=1)[:, :OVERLAP]
+                if c is None:
+                    near = np.zeros((len(at), 1), np.int64)
+                if c is not None:
+                    near = np.argsort(-(_unit(_matrix(b.column(2).take(pa.array(at)))) @ c.T), axis=1, kind="stable")[:, :OVERLAP]
                 row += np.repeat(at, near.shape[1]).tolist()
                 cell += near.ravel().tolist()
+                first += np.tile(np.arange(near.shape[1]) == 0, len(at)).tolist()
             out = b.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell, pa.int32())], names=["id", "label", "x", "dim", "cell"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell, pa.int32()), pa.array(first, pa.bool_())], names=["id", "label", "x", "dim", "cell", "first"])
 
-    dealt = sized.select("id", "label", "x", "dim").mapInArrow(deal, "id long, label long, x array<double>, dim int, cell int")
+    dealt = sized.select("id", "label", "x", "dim").mapInArrow(deal, "id long, label long, x array<double>, dim int, cell int, first boolean")
     dealt = materialize(dealt, "dealt")
     blocks = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = dealt.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -176,7 +176,7 @@ def near_links(nodes: DataFrame, least: float) -> DataFrame:
     key = ["label", "dim", "cell", "block", "asking"]
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(c)
     held = full.select("label", "dim", "cell", "block", spread("asking"), "id", "x", "to")
-    asked = dealt.select(F.col("label").alias("l"), F.col("dim").alias("d"), F.col("cell").alias("c"), spread("b"), F.col("block").alias("k"), F.col("id").alias("qid"), F.col("x").alias("qx"))
+    asked = dealt.where("first").select(F.col("label").alias("l"), F.col("dim").alias("d"), F.col("cell").alias("c"), spread("b"), F.col("block").alias("k"), F.col("id").alias("qid"), F.col("x").alias("qx"))
 
     def look(nodes: pa.Table, queries: pa.Table) -> pa.Table:
         a: list[np.ndarray] = [np.zeros(0, np.int64)]
@@ -241,8 +241,8 @@ def audit_recall(vectors: DataFrame, found: DataFrame, least: float = 0.98, *, i
     ok = vectors.where(f"{id_col} is not null and {label_col} is not null and size({vector_col}) > 0").select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
     ok = ok.where(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))) & F.exists("x", lambda c: c != 0))
     n = max(1, ok.count() // 5000)
-    rows = ok.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    asked = ok.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("label").alias("l"), F.col("x").alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    rows = ok.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("dim", F.size("x"))
+    asked = ok.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("label").alias("l"), F.size("x").alias("d"), F.col("x").alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
 
     def count(refs: pa.Table, queries: pa.Table) -> pa.Table:
         if not refs.num_rows or not queries.num_rows:
@@ -251,6 +251,6 @@ def audit_recall(vectors: DataFrame, found: DataFrame, least: float = 0.98, *, i
         same = queries.column("qid").to_numpy()[:, None] == refs.column("id").to_numpy()[None, :]
         return pa.table({"id": queries.column("qid"), "n": pa.array(((q @ x.T >= least) & ~same).sum(axis=1))})
 
-    true = rows.groupBy("label", "block").cogroup(asked.groupBy("l", "b")).applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    true = rows.groupBy("label", "dim", "block").cogroup(asked.groupBy("l", "d", "b")).applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = true.join(found.select(F.col("vec_id").alias("id"), "n_links"), "id", "left").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
     return float(got[1] / got[0]) if got[0] else 1.0
