@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import bloom, zonemap
 from siltstone.plans.parser import parse_filter, parse_query
 from siltstone.plans.query import run
-from siltstone.sources import footer
+from siltstone.sources import footer, layout, scan, scratch
 
 #: name: (table, filter, select, aggregates)
 SPECS: dict[str, tuple[str, str, str, str]] = {
@@ -103,6 +103,43 @@ def per_file_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+def layout_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table again, from files with 550 rows in a row group."""
+    out = scratch.path(spark, "rewrite")
+    layout.rewrite(spark, f"{sf_dir}/orders.parquet", out)
+    return spark.read.parquet(out)
+
+
+def layout_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table again, from its compaction out of 20 files into at most 16."""
+    many, few = scratch.path(spark, "many"), scratch.path(spark, "few")
+    _table(spark, sf_dir, "orders").repartition(20).write.parquet(many)
+    return spark.read.parquet(*layout.compact(spark, many, few))
+
+
+def footer_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: sizes of footers depend on the writer."""
+    return footer.metadata_ratio(spark, f"{sf_dir}/orders.parquet").drop("path")
+
+
+def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the largest table, read and discarded, then counted."""
+    df = scan.parquet(spark, f"{sf_dir}/lineitem.parquet")
+    scan.discard(df)
+    return df.agg(F.count("*").alias("n"))
+
+
+def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: bytes of the files."""
+    return scan.raw_bytes(spark, f"{sf_dir}/lineitem.parquet")
+
+
+def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: what a selective query read."""
+    m = scan.measured(run(_table(spark, sf_dir, "orders"), parse_query("o_orderkey > 14000", "o_orderkey"), "column").rows)
+    return spark.createDataFrame([(m.seconds, m.rows_read, m.bytes_read)], "seconds double, rows_read long, bytes_read long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _by_spec(name) for name in SPECS} | {
     "filter_bool_eq": filter_bool_eq,
     "zone_map": zone_map,
@@ -114,6 +151,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _by_spec(n
     "row_mode": row_mode,
     "bloom_prune": bloom_prune,
     "per_file_agg": per_file_agg,
+    "layout_rewrite": layout_rewrite,
+    "layout_compact": layout_compact,
+    "footer_ratio": footer_ratio,
+    "full_scan": full_scan,
+    "raw_scan": raw_scan,
+    "scan_metrics": scan_metrics,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -150,4 +193,7 @@ ORACLE_SQL: dict[str, str] = {
     "event_scan": """SELECT event_id, value FROM events WHERE event_type = 'purchase' AND value > 100.0""",
     "group_mode": """SELECT o.* FROM (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1)/550.0) AS BIGINT) z FROM orders) t JOIN (SELECT z, MAX(o_orderkey) mx FROM (SELECT o_orderkey, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1)/550.0) AS BIGINT) z FROM orders) GROUP BY 1) m USING (z) JOIN orders o ON o.o_orderkey = t.o_orderkey WHERE m.mx > 14000""",
     "row_mode": """SELECT * FROM orders WHERE o_orderkey > 14000""",
+    "layout_rewrite": """SELECT * FROM orders""",
+    "layout_compact": """SELECT * FROM orders""",
+    "full_scan": """SELECT COUNT(*) AS n FROM lineitem""",
 }

@@ -51,9 +51,10 @@ def metadata_ratio(spark: SparkSession, folder: str) -> DataFrame:
 def thresholds(maxima: DataFrame, column: str = "max_0") -> DataFrame:
     """(pct, threshold) for 0 to 99: the value that the maxima of that share of blocks exceed, from one row a block.
 
-    Blocks in order of their maxima; a share takes the one n - floor(n/100 * pct) from below, the last at most.
+    Blocks in order of their maxima; a share takes the one n - floor(n/100 * pct) from below, the last at most. There is
+    a row for each row group, a million or so for 100 TB, so one task can rank them.
     """
-    ranked = maxima.select(F.col(column).alias("threshold"), (F.row_number().over(Window.orderBy(column)) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    pct = maxima.sparkSession.range(100).select(F.col("id").alias("pct"))
-    at = F.least(F.col("n") - 1, F.col("n") - F.floor(F.col("n") / 100 * F.col("pct")))
-    return ranked.join(F.broadcast(pct), F.col("i") == at).select("pct", "threshold")
+    n = maxima.count()
+    ranked = maxima.select(F.col(column).alias("threshold"), (F.row_number().over(Window.orderBy(column)) - 1).alias("i"))
+    at = F.least(F.lit(n - 1), n - F.floor(F.lit(n) / 100 * F.col("id")))
+    return ranked.join(F.broadcast(maxima.sparkSession.range(100).select(F.col("id").alias("pct"), at.alias("i"))), "i").select("pct", "threshold")

@@ -19,10 +19,12 @@ def parquet(spark: SparkSession, path: str, limit_files: int | None = None) -> D
 
 
 def list_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[str]:
-    """Sorted paths of a folder's files, by Hadoop's file systems, so that any store works."""
+    """Sorted paths of a folder's files (or the one file), by Hadoop's file systems, so that any store works."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        return [str(fs.getFileStatus(p).getPath())]
     return sorted(str(s.getPath()) for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, f"*{suffix}")) or () if s.isFile())
 
 
