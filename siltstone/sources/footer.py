@@ -42,6 +42,33 @@ def footers(spark: SparkSession, folder: str) -> DataFrame:
     return df.mapInArrow(read, SCHEMA)
 
 
+def statistics(spark: SparkSession, folder: str, column: str) -> DataFrame:
+    """path, row_group, rows, min_0 and max_0 of one flat column, from the footers alone; null where a writer left none."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    t = spark.read.parquet(folder).schema[column].dataType
+    kind = to_arrow_type(t)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_file(at) as f:
+                    meta = pq.read_metadata(f)
+                k = next(i for i in range(meta.num_columns) if meta.schema.column(i).path == column)
+                groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+                stats = [g.column(k).statistics for g in groups]
+                low, high = ([getattr(s, side) if s is not None and s.has_min_max else None for s in stats] for side in ("min", "max"))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(groups), pa.string()), pa.array(range(len(groups)), pa.int32()), pa.array([g.num_rows for g in groups], pa.int64()), pa.array(low, kind), pa.array(high, kind)], names=["path", "row_group", "rows", "min_0", "max_0"])
+
+    paths = list_files(spark, folder)
+    df = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism)))
+    return df.mapInArrow(read, f"path string, row_group int, rows long, min_0 {t.simpleString()}, max_0 {t.simpleString()}")
+
+
 def metadata_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """Per file: row_groups, rows_per_group and ratio of footer to file bytes."""
     f = footers(spark, folder)

@@ -211,6 +211,9 @@ def test_measure_and_workload(spark, tmp_path, sf):
     assert out["files"] == 1 and out["rows_read"] <= 550
     got = dict(footer.thresholds(zonemap.zone_map(spark.range(100), F.col("id"), ["id"])).collect())
     assert got[0] == 99 and got[1] == 99 and got[50] == 50 and got[99] == 1
+    stats = footer.statistics(spark, path, "id")
+    assert [tuple(r) for r in stats.select("row_group", "rows", "min_0", "max_0").orderBy("row_group").limit(2).collect()] == [(0, 550, 0, 549), (1, 550, 550, 1099)]
+    assert dict(footer.thresholds(stats).collect())[50] == 10 * 550 + 549
 
 
 def test_stream(spark, tmp_path, sf):
