@@ -171,21 +171,26 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     hub's own group is reduced to a minimum by partial aggregation, never gathered.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
-    while True:
+    mark = _mark(e)
+    while mark[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         big = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         lower = big.groupBy("a").agg(F.min("b").alias("low"))
         small = big.join(lower, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        new = materialize(small, tag)
-        # a star forest is a fixed point: no centre is itself pointed away, and nothing changes
-        change = new.exceptAll(e).limit(1).count() or e.exceptAll(new).limit(1).count()
-        e = new
-        if not change:
+        e = materialize(small, tag)
+        # a star forest is the fixed point: nothing changes any more
+        was, mark = mark, _mark(e)
+        if was == mark:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
+def _mark(e: DataFrame) -> tuple[int, int | None]:
+    """Number and common hash of the rows."""
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 # ---------------------------------------------------------------- fixed-size membership sketches
 
 #: Bits of a membership bitmap (8 MB), however large the data; one probe each.
