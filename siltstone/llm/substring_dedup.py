@@ -187,7 +187,8 @@ def dedup_passages(docs: DataFrame, window: int = 50, gram: int = 16, *, id_col:
                 yield _batch(["w", "id", "of", "first"], [mix64(wh + np.uint64(1)).view(np.int64), ids[doc], of[doc], (first - bounds[doc]).astype(np.int32)])
 
     seen = d_near.mapInArrow(windows, "w long, id long, of long, first int")
-    owned = seen.groupBy("w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w", "low")
+    # written, so that the join below gets its own exchanges, and a window found everywhere can be split among tasks
+    owned = materialize(seen.groupBy("w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w", "low"), "owners-of-windows")
     # first word and owner packed in one list for each document
     marks = materialize(seen.join(owned, "w").groupBy("id", "of").agg(F.sort_array(F.collect_set(F.struct("first", "low"))).alias("marks")).select("id", "of", "marks.first", "marks.low"), "marks")
     doc_bits = sketch(marks.select("id"), **limit)
