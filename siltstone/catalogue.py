@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import bloom, zonemap
 from siltstone.plans.parser import parse_filter, parse_query
 from siltstone.plans.query import run
-from siltstone.sources import footer, layout, scan, scratch
+from siltstone.sources import example, footer, layout, scan, scratch
 
 #: name: (table, filter, select, aggregates)
 SPECS: dict[str, tuple[str, str, str, str]] = {
@@ -140,6 +140,14 @@ def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m.seconds, m.rows_read, m.bytes_read)], "seconds double, rows_read long, bytes_read long")
 
 
+def example_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates of the example file; those of its times and booleans are left out."""
+    path = scratch.path(spark, "example")
+    example.write(spark, path)
+    ops = ",".join(f"{op}(Age)" for op in ("AVG", "MAX", "MIN", "COUNT", "SUM")) + ",SUM(Birthday),COUNT(Float),MAX(Float),MIN(Float)"
+    return run(spark.read.parquet(path), parse_query("Birthday >= 1020-1-1-1:1:1", "Age", ops), "aggr").aggregates
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _by_spec(name) for name in SPECS} | {
     "filter_bool_eq": filter_bool_eq,
     "zone_map": zone_map,
@@ -157,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _by_spec(n
     "full_scan": full_scan,
     "raw_scan": raw_scan,
     "scan_metrics": scan_metrics,
+    "example_query": example_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -196,4 +205,5 @@ ORACLE_SQL: dict[str, str] = {
     "layout_rewrite": """SELECT * FROM orders""",
     "layout_compact": """SELECT * FROM orders""",
     "full_scan": """SELECT COUNT(*) AS n FROM lineitem""",
+    "example_query": """SELECT 20.0::DOUBLE AS "AVG(Age)", 60::BIGINT AS "MAX(Age)", -30::BIGINT AS "MIN(Age)", 6::BIGINT AS "COUNT(Age)", 120::BIGINT AS "SUM(Age)", 6::BIGINT AS "COUNT(Float)", 3.4028234663852886e38::DOUBLE AS "MAX(Float)", -3.4028234663852886e38::DOUBLE AS "MIN(Float)" """,
 }
