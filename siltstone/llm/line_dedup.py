@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower
+from .common import SPACE, ascii_lower, materialize
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,7 +25,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, *, id_col: str = "doc_id",
     lines = d.select("id", "print", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keys = lines.select("id", "print", "pos", ascii_lower(F.trim(F.col("line"), F.lit(SPACE))).alias("key")).where(F.char_length("key") >= min_chars)
     hashed = keys.select("id", "print", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
-    first = hashed.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("unnamed")).where("low < high or (low is not null and unnamed)").select("h1", "h2", "low")
+    # written, so that the join below gets its own exchanges, and a line found everywhere can be split among tasks
+    first = materialize(hashed.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("unnamed")).where("low < high or (low is not null and unnamed)").select("h1", "h2", "low"), "repeated-lines")
     gone = hashed.join(first, ["h1", "h2"]).where("id > low or id is null").groupBy("id", "print").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     gone = gone.select(F.col("id").alias("gone_id"), F.col("print").alias("gone_print"), "gone")
     met = d.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("print") == F.col("gone_print")), "left")
