@@ -138,7 +138,7 @@ def hash_runs(h: np.ndarray, n: int) -> np.ndarray:
     return mix64((total[n:] - total[:-n]) * down[: len(h) - n + 1])
 
 
-def in_groups(parts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def in_groups(parts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Slices of parts of about ``most`` bytes, so that numpy's work arrays stay small; a longer text stands alone."""
     start = size = 0
     for i, x in enumerate(parts):
