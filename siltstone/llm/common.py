@@ -10,8 +10,9 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once to the shared scratch folder and read it back: cuts lineage, survives lost executors.
+
+    Small tables get few files: partitions are merged up to the advisory size rather than spread over all cores.
+    """
+    df.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -148,11 +153,25 @@ def in_groups(parts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, in
         size += len(x)
     if start < len(parts):
         yield start, len(parts)
-    _give_back()
+    give_back()
+
+
+#: What a worker keeps between tasks: how to drop it, and when it was last used.
+_kept: dict[str, tuple[Callable[[], None], float]] = {}
+KEPT_S = 5.0
+
+
+def keep(name: str, drop: Callable[[], None]) -> None:
+    """Something kept between tasks is in use; another operator's batches drop it when it has been idle."""
+    _kept[name] = (drop, time.monotonic())
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Free memory of a Python worker goes back to the machine: the JVM beside it needs it."""
+    for name, (drop, used) in list(_kept.items()):
+        if time.monotonic() - used > KEPT_S:
+            drop()
+            del _kept[name]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_BITS, bound_batches, hash_words, in_groups, in_sketch, materialize, mix64, sketch, texts
+from .common import SKETCH_BITS, bound_batches, hash_words, in_groups, in_sketch, keep, materialize, mix64, sketch, texts
 
 END = np.uint64(0x5EED0E4D)
 #: Least probability, and number, of a frequent word and of a state; so there are 1 / P_MIN of either at most.
@@ -88,6 +88,7 @@ def _index(name: str, keys: np.ndarray) -> Index:
         for old in [k for k in _indexes if k.split("/")[0] != name.split("/")[0]]:
             del _indexes[old]
         _indexes[name] = Index(keys)
+    keep("indexes", _indexes.clear)
     return _indexes[name]
 
 

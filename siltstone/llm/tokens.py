@@ -15,7 +15,7 @@ import unicodedata
 
 import numpy as np
 
-from .common import hash_spans, word_spans
+from .common import give_back, hash_spans, keep, word_spans
 
 #: Bytes that, behind a space, certainly start a character that isn't white space: printable ASCII, U+00C0 to U+02BF.
 _SOLID = np.zeros(256, bool)
@@ -27,7 +27,7 @@ class Pieces:
     """Ids by the hash of a piece: open addressing on arrays. Two pieces of one hash would be taken for each other;
     with so many entries the odds are below 1e-12 for each look-up."""
 
-    def __init__(self, dtype: np.dtype, slot_bits: int = 22):
+    def __init__(self, dtype: np.dtype, slot_bits: int = 21):
         self.shift, self.size = np.uint64(64 - slot_bits), 1 << slot_bits
         self.dtype = dtype
         self.clear()
@@ -87,7 +87,10 @@ class Encoder:
         self.size = np.zeros(self.vocabulary, np.int64)
         for token, i in spec["model"].get("vocab", {}).items() if self.kind else ():
             self.size[i] = len(token) - (len(ending) if ending and token.endswith(ending) else 0)
-        self.pieces = Pieces(self.dtype)
+        # words repeat more than pieces with what surrounds them
+        self.pieces = Pieces(self.dtype, 20 if self.kind == "words" else 21)
+        del spec
+        give_back()
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -122,6 +125,7 @@ class Encoder:
         return self._one_by_one([p.decode() for p in pieces])
 
     def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        keep("encoders", _encoders.clear)
         if not self.kind:
             ids, ends = self._one_by_one([p.decode() for p in parts])
             return ids, np.concatenate([[0], ends])
