@@ -27,7 +27,7 @@ class Pieces:
     """Ids by the hash of a piece: open addressing on arrays. Two pieces of one hash would be taken for each other;
     with so many entries the odds are below 1e-12 for each look-up."""
 
-    def __init__(self, dtype: np.dtype, slot_bits: int = 21):
+    def __init__(self, dtype: np.dtype, slot_bits: int = 22):
         self.shift, self.size = np.uint64(64 - slot_bits), 1 << slot_bits
         self.dtype = dtype
         self.clear()
@@ -88,7 +88,7 @@ class Encoder:
         for token, i in spec["model"].get("vocab", {}).items() if self.kind else ():
             self.size[i] = len(token) - (len(ending) if ending and token.endswith(ending) else 0)
         # words repeat more than pieces with what surrounds them
-        self.pieces = Pieces(self.dtype, 20 if self.kind == "words" else 21)
+        self.pieces = Pieces(self.dtype, 20 if self.kind == "words" else 22)
         del spec
         give_back()
 
