@@ -1,19 +1,19 @@
 """Operator 7: language-model scoring by a probabilistic suffix tree over words.
 
-States are contexts of up to ``depth`` preceding words, of a probability of P_MIN or more. A next word stays in a state
+States are contexts of up to ``depth`` preceding words that occur FREQUENT times or more. A next word stays in a state
 if its count there diverges from what the parent state expects, a state stays if all that it says diverges enough;
-everything else is passed to the parent. What a state's words leave is shared by two classes, frequent words (P_MIN or
-more) and all others, each in proportion to the parent's probabilities, and counts are smoothed by the parent as
+everything else is passed to the parent. What a state's words leave is shared by two classes, frequent words (FREQUENT
+or more) and all others, each in proportion to the parent's probabilities, and counts are smoothed by the parent as
 prior; so every state is a distribution.
 
 With P(w|s) = P(w|parent) * b(s, class) * d(s, w), d = 1 where the state doesn't hold w, the log probability of a text
-is a sum of table entries: log P0(w), log b(s, class) and log d(s, w) over the states along the suffix. P_MIN bounds
-the frequent words and the states, so these go to every executor. Counts of words, and d, grow with the corpus: of
-these the most used entries (a fixed number) are sent, the rest is joined.
+is a sum of table entries: log P0(w), log b(s, class) and log d(s, w) over the states along the suffix. Words, states
+and d all grow with the corpus. The most used words and states of each level (a fixed number, the frame) have small
+numbers and go to every executor; the others are named by hashes, told by a sketch or joined. The same holds for the
+entries: the most used are sent, the rest is joined. What is sent changes costs, not the model.
 """
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -26,19 +26,21 @@ from pyspark.sql import functions as F
 from .common import SKETCH_BITS, bound_batches, hash_words, in_groups, in_sketch, keep, materialize, mix64, sketch, texts
 
 END = np.uint64(0x5EED0E4D)
-#: Least probability, and number, of a frequent word and of a state; so there are 1 / P_MIN of either at most.
-P_MIN, FREQUENT = 1e-5, 32
+#: Least number of occurrences of a frequent word and of a state, whatever the corpus.
+FREQUENT = 32
 #: Counts and gain (nats) that keep a word in a state; gain that keeps a state, and what each of its words costs.
 WORD_COUNT, WORD_GAIN, STATE_GAIN, WORD_COST = 4, 10.0, 20.0, 5.0
 #: Weight of the parent as a prior.
 PRIOR = 20.0
-#: Entries sent to every executor (16 bytes each).
-HEAD = 400_000
+#: Entries sent to every executor (16 bytes each), and words, or states of a level.
+HEAD, FRAME = 400_000, 1_000_000
+#: Ids from here on are hashes: of words and states outside the frame.
+OUTSIDE = 1 << 62
+#: Rows up to which a table of words or states is broadcast for a join.
+SENT_ROWS = 200_000
 #: Events that a task counts together.
 COUNTED = 2_000_000
 TAIL_BITS = 1 << 28
-#: Bits of a word's number in an event; 1 / P_MIN fits.
-WORD_BITS = 20
 
 
 def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,19 +94,28 @@ def _index(name: str, keys: np.ndarray) -> Index:
     return _indexes[name]
 
 
-def _counted(events: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(e, c): counts of equal events, passed on in portions."""
-    held: list[np.ndarray] = []
+def _counted(events: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The events' columns and c: counts of equal events, passed on in portions."""
+    held: list[tuple[np.ndarray, ...]] = []
 
     def portion() -> pa.RecordBatch:
-        e, n = np.unique(np.concatenate(held), return_counts=True)
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n)], names=["e", "c"])
+        if len(cols) == 1:
+            u, n = np.unique(cols[0], return_counts=True)
+            out = [u]
+        elif max(int(x.max(initial=0)) for x in cols) < 1 << 31:
+            u, n = np.unique(cols[0] << 32 | cols[1], return_counts=True)
+            out = [u >> 32, u & 0xFFFFFFFF]
+        else:
+            _, at, n = np.unique(pair(0, *cols), return_index=True, return_counts=True)
+            out = [x[at] for x in cols]
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in out), pa.array(n)], names=[*names, "c"])
 
     size = 0
     for x in events:
         held.append(x)
-        size += len(x)
+        size += len(x[0])
         if size > COUNTED:
             yield portion()
             size = 0
@@ -112,38 +123,65 @@ def _counted(events: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield portion()
 
 
+def pair(salt: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of two ids."""
+    return mix64(mix64(a.astype(np.uint64) + np.uint64(salt << 40)) + b.astype(np.uint64))
+
+
+def outside(h: np.ndarray) -> np.ndarray:
+    """The id of a word or state outside the frame, from its hash."""
+    return (h >> np.uint64(2) | np.uint64(OUTSIDE)).astype(np.int64)
+
+
 class Frame:
-    """What every executor holds of a model, bounded by P_MIN: the frequent words' hashes, and for each depth beyond
-    the first the states, each as (state of all but its last word, number of the last word)."""
+    """What every executor holds of a model: the most used frequent words' hashes, and for each depth beyond the first
+    the most used states' (hashes of the state of all but the last word, and the last word). ``others``: for words, then
+    for each of these depths, what tells those outside: False (there are none), a sketch of their ids, or None (any)."""
 
     def __init__(self, words: np.ndarray):
-        self.name, self.words, self.longer = uuid.uuid4().hex, words, []
+        self.name, self.words, self.longer, self.others = uuid.uuid4().hex, words, [], [False]
 
     def numbers(self, t: np.ndarray) -> np.ndarray:
-        """Each token's number; that behind the last for all that aren't frequent."""
+        """Each token's number; that behind the last for all that aren't frequent; an id for those that may be."""
         at = _index(f"{self.name}/0", self.words).find(t)
-        return np.where(at < 0, len(self.words), at)
+        return self._or_outside(0, at, t, np.int64(len(self.words)))
+
+    def _or_outside(self, k: int, at: np.ndarray, h: np.ndarray, none: np.int64) -> np.ndarray:
+        lost = np.flatnonzero(at < 0)
+        at[lost] = none
+        if self.others[k] is not False:
+            ids = outside(h[lost])
+            if self.others[k] is not None:
+                there = in_sketch(self.others[k], ids)
+                lost, ids = lost[there], ids[there]
+            at[lost] = ids
+        return at
+
+    def longer_states(self, level: int, shorter: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The states of ``level`` words: of a state of one word less, followed by a word; or -1."""
+        h = pair(level, shorter, last)
+        return self._or_outside(level - 1, _index(f"{self.name}/{level}", self.longer[level - 2]).find(h), h, np.int64(-1))
 
     def states(self, number: np.ndarray, t: np.ndarray, place: np.ndarray, depth: int) -> list[np.ndarray]:
         """For each depth the state of the words before each token, or -1."""
         before = np.roll(number, 1)
-        out = [np.where((place >= 1) & (before < len(self.words)) & (np.roll(t, 1) != END), before, -1)]
+        out = [np.where((place >= 1) & (before != len(self.words)) & (np.roll(t, 1) != END), before, -1)]
         for level in range(2, depth + 1):
             shorter = np.roll(out[-1], 1)
             ok = (place >= level) & (shorter >= 0) & (out[0] >= 0)
             at = np.full(len(t), -1, np.int64)
-            at[ok] = _index(f"{self.name}/{level}", self.longer[level - 2]).find((shorter[ok] << WORD_BITS | before[ok]).astype(np.uint64))
+            at[ok] = self.longer_states(level, shorter[ok], before[ok])
             out.append(at)
         return out
 
 
 class Tree:
-    """The fitted model: ``entries`` (key, kind, value, weight; kind 0: a word, 2: a state's word), the number of
-    training tokens and of distinct ones, the frame, and of each depth's states log10 b for frequent and other words
-    (0 for states that aren't kept) and whether they are kept."""
+    """The fitted model: ``entries`` (key, kind, value, weight; kind 0: a word, 1: a state's class, 2: a state's word),
+    the number of training tokens and of distinct ones, the frame, of each depth's states in the frame log10 b for
+    frequent and other words (0 for states that aren't kept) and whether they are kept, and ids of words outside."""
 
-    def __init__(self, spark: SparkSession, entries: DataFrame, n: int, v: int, frame: Frame, shares: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.spark, self.entries, self.n, self.v, self.frame, self.shares = spark, entries, n, v, frame, shares
+    def __init__(self, spark: SparkSession, entries: DataFrame, n: int, v: int, frame: Frame, shares: list[tuple[np.ndarray, np.ndarray, np.ndarray]], others: DataFrame):
+        self.spark, self.entries, self.n, self.v, self.frame, self.shares, self.others = spark, entries, n, v, frame, shares, others
 
     @property
     def depth(self) -> int:
@@ -151,10 +189,18 @@ class Tree:
 
 
 def word_keys(level: int, state: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return mix64((state << WORD_BITS | number).astype(np.uint64) + np.uint64(level << 48))
+    return pair(1000 + level, state, number)
+
+
+def class_keys(level: int, state: np.ndarray, frequent: bool) -> np.ndarray:
+    return pair(500_000 + 2 * level + frequent, state, np.zeros(len(state), np.int64))
 
 
-def fit(train: DataFrame, depth: int = 2, *, text_col: str = "text") -> Tree:
+def _told(ids: DataFrame) -> np.ndarray | None:
+    return sketch(ids, bits=TAIL_BITS if ids.count() > SKETCH_BITS // 16 else SKETCH_BITS)
+
+
+def fit(train: DataFrame, depth: int = 2, frame_size: int = FRAME, *, text_col: str = "text") -> Tree:
     """Fit on all texts of ``train``; a null text is empty and counts one end."""
     spark = train.sparkSession
     bound_batches(spark)
@@ -166,88 +212,118 @@ def fit(train: DataFrame, depth: int = 2, *, text_col: str = "text") -> Tree:
             for s, e in in_groups(parts):
                 yield tokens(parts[s:e])
 
-    unigrams = materialize(d.mapInArrow(lambda it: _counted(t for t, _, _ in groups(it)), "e long, c long").groupBy("e").agg(F.sum("c").alias("c")), "unigrams")
+    unigrams = materialize(d.mapInArrow(lambda it: _counted(((t,) for t, _, _ in groups(it)), ["e"]), "e long, c long").groupBy("e").agg(F.sum("c").alias("c")), "unigrams")
     n, v = (int(x or 0) for x in unigrams.agg(F.sum("c"), F.count("*")).first())
-    z, least = n + v + 1, max(FREQUENT, math.ceil(P_MIN * n))
-    often = unigrams.where(F.col("c") >= least).toArrow()  # 1 / P_MIN rows at most
-    words, counts = often.column("e").to_numpy().view(np.uint64), often.column("c").to_numpy()
+    z = n + v + 1
+    often = unigrams.where(F.col("c") >= FREQUENT)
+    n_often, p_often = often.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    top = (often if n_often <= frame_size else often.orderBy(F.desc("c"), "e").limit(frame_size)).toArrow()
+    words, counts = top.column("e").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     frame, rare_number = Frame(words), len(words)
-    p0 = np.log((counts + 1) / z)
-    rare = float(np.log(max(1 - np.exp(p0).sum(), 1e-12)))
-    known = spark.createDataFrame(pa.table({"w": pa.array([*range(rare_number), rare_number], pa.int64()), "p0": pa.array([*p0, rare], pa.float64())}))
+    rare = float(np.log(max(1 - (p_often + n_often) / z, 1e-12)))
+    known = spark.createDataFrame(pa.table({"w": pa.array(np.arange(rare_number)), "e": pa.array(words.view(np.int64)), "c": pa.array(counts)}))
+    others = often.join(known.select("e"), "e", "left_anti").select(F.shiftrightunsigned("e", 2).bitwiseOR(F.lit(OUTSIDE)).alias("w"), "e", "c")
+    if n_often > rare_number:
+        others = materialize(others, "words-outside")
+        frame.others[0] = _told(others.select("w"))
+        known = known.union(others)
+    known = materialize(known.withColumn("p0", F.log((F.col("c") + 1) / F.lit(float(z)))), "words")
+    near = lambda df, rows: F.broadcast(df) if rows <= SENT_ROWS else df
     tenth = float(np.log(10))
     entries = unigrams.select(F.col("e").alias("key"), F.lit(0).alias("kind"), F.log10(F.col("c") + 1).alias("value"), F.col("c").alias("weight"))
     shares: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held: list[DataFrame] = []  # of each level: anc_<level>, w, d
-    total, above = counts, []  # of the level's states: how often they occur, and their ancestors level by level
+    # of the level's states: how often they occur, log b of all their ancestors, and the ancestors level by level
+    end = int(END.view(np.int64))
+    states = known.where(F.col("e") != end).select(F.col("w").alias("s"), F.col("c").alias("n"), F.lit(0.0).alias("base_f"), F.lit(0.0).alias("base_r"))
+    ending = F.col("w").isin([int(x) for x in np.flatnonzero(words == END)] or [int(outside(np.array([END]))[0])])
+    n_states, n_framed = n_often, rare_number
     for level in range(1, depth + 1):
         sent = spark.sparkContext.broadcast(frame)
 
         def events(batches: Iterator[pa.RecordBatch], level: int = level, sent=sent) -> Iterator[pa.RecordBatch]:
-            def found() -> Iterator[np.ndarray]:
+            def found() -> Iterator[tuple[np.ndarray, ...]]:
                 f = sent.value
                 for t, _, place in groups(batches):
                     number = f.numbers(t)
                     s = f.states(number, t, place, level)[-1]
-                    yield (s[s >= 0] << WORD_BITS | number[s >= 0]).astype(np.uint64)
+                    yield s[s >= 0], number[s >= 0]
 
-            return _counted(found())
+            return _counted(found(), ["s", "w"])
 
-        seen = d.mapInArrow(events, "e long, c long").groupBy("e").agg(F.sum("c").alias("c"))
-        seen = seen.select(F.shiftright("e", WORD_BITS).alias("s"), F.col("e").bitwiseAND((1 << WORD_BITS) - 1).alias("w"), "c")
+        seen = d.mapInArrow(events, "s long, w long, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
+        if frame.others[0] is not False:  # words that the sketch takes wrongly for frequent ones
+            seen = seen.join(others.select("w", F.lit(True).alias("is")), "w", "left")
+            seen = seen.withColumn("w", F.when((F.col("w") >= OUTSIDE) & F.col("is").isNull(), rare_number).otherwise(F.col("w"))).groupBy("s", "w").agg(F.sum("c").alias("c"))
         # what can't stay in a state is told by its total
         seen = materialize(seen.where((F.col("c") >= WORD_COUNT) | (F.col("w") == rare_number)), "events")
-        base = [sum((x[k][anc] for x, anc in zip(shares, above, strict=True)), np.zeros(len(total))) * tenth for k in (0, 1)]
-        rare_above = rare + base[1]
-        table = {"s": pa.array(np.arange(len(total))), "n": pa.array(total), "bf": pa.array(base[0]), "br": pa.array(base[1])}
-        table |= {f"anc_{i + 1}": pa.array(anc) for i, anc in enumerate(above)}
-        e = seen.join(F.broadcast(spark.createDataFrame(pa.table(table))), "s").join(F.broadcast(known), "w")
-        p = F.col("p0") + F.when(F.col("w") == rare_number, F.col("br")).otherwise(F.col("bf"))
+        e = seen.where(F.col("w") != rare_number).join(near(states, n_states), "s").join(near(known.select("w", "p0"), n_often), "w")
+        p = F.col("p0") + F.col("base_f")
         for i, h in enumerate(held):
             e = e.join(h, [f"anc_{i + 1}", "w"], "left")
             p = p + F.coalesce(f"d_{i + 1}", F.lit(0.0))
-        stays = (F.col("w") != rare_number) & (F.col("c") * (F.log(F.col("c") / F.col("n")) - F.col("p")) >= WORD_GAIN)
-        e = materialize(e.withColumn("p", p).select("s", "w", "c", "n", "p", stays.alias("stays")), "expected")
-        when = lambda x, none: F.when(F.col("stays"), x).otherwise(none)
+        e = e.withColumn("p", p).where(F.col("c") * (F.log(F.col("c") / F.col("n")) - F.col("p")) >= WORD_GAIN)
+        e = materialize(e.select("s", "w", "c", "n", "p"), "stays")
         own = F.log((F.col("c") + PRIOR * F.exp("p")) / (F.col("n") + PRIOR)) - F.col("p")
-        sums = e.groupBy("s").agg(F.sum(when(F.col("c"), 0)).alias("c"), F.sum(when(F.exp("p"), 0.0)).alias("p"), F.sum(F.when(F.col("w") == rare_number, F.col("c")).otherwise(0)).alias("r"), F.count(when(F.lit(1), None)).alias("k"), F.sum(when(F.col("c") * own, 0.0)).alias("g")).toArrow()  # a row a state
-        at = sums.column("s").to_numpy()
-        c, q, r, k, g = (np.zeros(len(total)) for _ in range(5))
-        for x, name in ((c, "c"), (q, "p"), (r, "r"), (k, "k"), (g, "g")):
-            x[at] = sums.column(name).to_numpy()
-        p_rare = np.exp(rare_above)
-        others, p_others = total - c - r, np.maximum(1 - q - p_rare, 1e-9)
-        bf = np.log((others + PRIOR * p_others) / ((total + PRIOR) * p_others))
-        br = np.log((r + PRIOR * p_rare) / ((total + PRIOR) * p_rare))
-        kept = g + others * bf + r * br >= STATE_GAIN + WORD_COST * k
-        shares.append((np.where(kept, bf, 0) / tenth, np.where(kept, br, 0) / tenth, kept))
-        states = spark.createDataFrame(pa.table({"s": pa.array(np.flatnonzero(kept)), "b": pa.array(bf[kept])}))
-        mine = materialize(e.where("stays").join(F.broadcast(states), "s").select("s", "w", (own - F.col("b")).alias("d"), "c"), "words-of-states")
+        sums = e.groupBy("s").agg(F.sum("c").alias("c"), F.sum(F.exp("p")).alias("q"), F.count("*").alias("k"), F.sum(F.col("c") * own).alias("g"))
+        rest = seen.where(F.col("w") == rare_number).select("s", F.col("c").alias("r"))
+        st = states.join(sums, "s", "left").join(rest, "s", "left").na.fill(0, ["c", "q", "k", "g", "r"])
+        p_rare = F.exp(F.lit(rare) + F.col("base_r"))
+        st = st.withColumns({"p_rare": p_rare, "others": F.col("n") - F.col("c") - F.col("r"), "p_others": F.greatest(1 - F.col("q") - p_rare, F.lit(1e-9))})
+        share = lambda c, p: F.log((F.col(c) + PRIOR * F.col(p)) / ((F.col("n") + PRIOR) * F.col(p)))
+        st = st.withColumns({"bf": share("others", "p_others"), "br": share("r", "p_rare")})
+        st = st.withColumn("kept", F.col("g") + F.col("others") * F.col("bf") + F.col("r") * F.col("br") >= STATE_GAIN + WORD_COST * F.col("k"))
+        st = materialize(st.drop("c", "q", "k", "g", "r", "p_rare", "others", "p_others"), "states")
+        kept = st.where("kept")
+        framed = kept.where(F.col("s") < OUTSIDE).select("s", "bf", "br").toArrow()  # frame_size rows at most
+        at = framed.column("s").to_numpy()
+        bf, br, is_kept = np.zeros(n_framed), np.zeros(n_framed), np.zeros(n_framed, bool)
+        bf[at], br[at], is_kept[at] = framed.column("bf").to_numpy() / tenth, framed.column("br").to_numpy() / tenth, True
+        shares.append((bf, br, is_kept))
+        mine = materialize(e.join(near(kept.select("s", "bf"), n_states), "s").select("s", "w", (own - F.col("bf")).alias("d"), "c"), "words-of-states")
         held.append(mine.select(F.col("s").alias(f"anc_{level}"), "w", F.col("d").alias(f"d_{level}")))
+        names = ["key", "kind", "value", "weight"]
 
         def keyed(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 key = word_keys(level, b.column(0).to_numpy(), b.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), 2, np.int32)), pa.array(b.column(2).to_numpy() / tenth), b.column(3)], names=["key", "kind", "value", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), 2, np.int32)), pa.array(b.column(2).to_numpy() / tenth), b.column(3)], names=names)
 
-        entries = entries.union(mine.mapInArrow(keyed, "key long, kind int, value double, weight long"))
+        def classes(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for frequent in (False, True):
+                    key = class_keys(level, b.column(0).to_numpy(), frequent)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), 1, np.int32)), pa.array(b.column(1 + frequent).to_numpy() / tenth), b.column(3)], names=names)
+
+        schema = "key long, kind int, value double, weight long"
+        entries = entries.union(mine.mapInArrow(keyed, schema))
+        if frame.others[0] is not False or frame.others[level - 1] is not False:
+            entries = entries.union(kept.select("s", "br", "bf", "n").mapInArrow(classes, schema))
         if level < depth:
-            end = np.flatnonzero(words == END)
-            more = seen.where((F.col("c") >= least) & (F.col("w") != rare_number) & ~F.col("w").isin(end.tolist())).toArrow()  # 1 / P_MIN rows at most
-            s, w, total = (more.column(x).to_numpy() for x in ("s", "w", "c"))
-            above = [w] if level == 1 else [*(anc for anc in _ancestors(frame, above, s, w))]
-            frame.longer.append((s << WORD_BITS | w).astype(np.uint64))
-    return Tree(spark, materialize(entries, "entries"), n, v, frame, shares)
-
-
-def _ancestors(frame: Frame, above: list[np.ndarray], s: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-    """Of the states (s, w), s of the level before with ancestors ``above``: the states without their first words."""
-    out = [w]
-    for i, anc in enumerate(above):
-        out.append(Index(frame.longer[i]).find((anc[s] << WORD_BITS | w).astype(np.uint64)))
-    return out
+            # a longer state (s, w); its parent is (s without its first word, w)
+            more = seen.where((F.col("c") >= FREQUENT) & (F.col("w") != rare_number) & ~ending)
+            more = more.join(near(st.select("s", F.col(f"anc_{level - 1}" if level > 1 else "s").alias("short")), n_states), "s").select("s", "w", "c", "short")
+
+            def grown(batches: Iterator[pa.RecordBatch], level: int = level, sent=sent) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    s, w, short = (b.column(i).to_numpy() for i in (0, 1, 3))
+                    par = w if level == 1 else sent.value.longer_states(level, short, w)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair(level + 1, s, w).view(np.int64)), b.column(2), pa.array(par)], names=["h", "n", "par"])
+
+            more = materialize(more.mapInArrow(grown, "h long, n long, par long"), "longer")
+            n_states = more.count()
+            top = (more if n_states <= frame_size else more.orderBy(F.desc("n"), "h").limit(frame_size)).select("h").toArrow().column("h").to_numpy()
+            n_framed = len(top)
+            frame.longer.append(top.view(np.uint64))
+            named = spark.createDataFrame(pa.table({"h": pa.array(top), "at": pa.array(np.arange(n_framed))}))
+            more = more.join(near(named, n_framed), "h", "left").select(F.coalesce("at", F.shiftrightunsigned("h", 2).bitwiseOR(F.lit(OUTSIDE))).alias("s"), "n", "par")
+            b = lambda c: F.col(f"base_{c[1]}") + F.when(F.col("kept"), F.col(c)).otherwise(0.0)
+            above = st.select(F.col("s").alias("par"), b("bf").alias("base_f"), b("br").alias("base_r"), *(f"anc_{i}" for i in range(1, level)))
+            states = materialize(more.join(above, "par").withColumnRenamed("par", f"anc_{level}"), "next-states")
+            frame.others.append(False if n_states <= n_framed else _told(states.where(F.col("s") >= OUTSIDE).select("s")))
+    return Tree(spark, materialize(entries, "entries"), n, v, frame, shares, others)
 
 
 def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,10 +339,10 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
     if len(keys):
         at = np.lexsort((keys, -weight))[-1]
         tail = tail.where((F.col("weight") < int(weight[at])) | (F.col("weight") == int(weight[at])) & (F.col("key") > int(keys[at])))
-    bits = sketch(tail.select("key"), bits=TAIL_BITS if tail.count() > SKETCH_BITS // 16 else SKETCH_BITS)
+    bits = _told(tail.select("key"))
     sent = spark.sparkContext.broadcast((keys.view(np.uint64), kind, value, bits, tree.frame, tree.shares))
     floor, depth = float(np.log10(tree.n + tree.v + 1)), tree.depth
-    names = ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "rest"]
+    names = ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "rest", "doubt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, kind, value, bits, frame, shares = sent.value
@@ -285,7 +361,7 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
             parts = texts(b.column(1))
             for s, e in in_groups(parts):
                 t, row, place = tokens(parts[s:e])
-                m, rest = e - s, []
+                m, rest, doubt = e - s, [], [(np.zeros(0, np.int64),) * 4]
                 base, known = look(t, row, m, rest)
                 base -= np.bincount(row, minlength=m) * floor
                 total = base.copy()
@@ -293,21 +369,39 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
                 for level, st in enumerate(frame.states(number, t, place, depth), 1):
                     bf, br, kept = shares[level - 1]
                     here = np.flatnonzero(st >= 0)
-                    here = here[kept[st[here]]]
+                    framed = st[here] < OUTSIDE
+                    framed[framed] = kept[st[here[framed]]]
+                    here = here[framed | (st[here] >= OUTSIDE)]
                     x, w, r = st[here], number[here], row[here]
-                    o = w < len(frame.words)
-                    total += np.bincount(r, weights=np.where(o, bf[x], br[x]), minlength=m)
-                    total += look(word_keys(level, x[o], w[o]), r[o], m, rest)[0]
+                    rare, unsure = w == len(frame.words), w >= OUTSIDE
+                    f = (x < OUTSIDE) & ~unsure
+                    total += np.bincount(r[f], weights=np.where(rare[f], br[x[f]], bf[x[f]]), minlength=m)
+                    for frequent in (False, True):
+                        f = (x >= OUTSIDE) & ~unsure & (rare != frequent)
+                        if f.any():
+                            total += look(class_keys(level, x[f], frequent), r[f], m, rest)[0]
+                    if unsure.any():  # a word outside the frame: a join tells its class
+                        doubt.append((r[unsure], w[unsure], *(class_keys(level, x[unsure], c).view(np.int64) for c in (True, False))))
+                    total += look(word_keys(level, x[~rare], w[~rare]), r[~rare], m, rest)[0]
                 who, what = (np.concatenate(c) for c in zip(*rest, strict=True))
                 order = np.argsort(who, kind="stable")
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=m))])
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(what[order].view(np.int64)))
-                cols = [pa.array(rid + np.arange(m)), b.column(0).slice(s, m), pa.array(np.bincount(row, minlength=m)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), lists]
+                r, *said = (np.concatenate(c) for c in zip(*doubt, strict=True))
+                order = np.argsort(r, kind="stable")
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=m))])
+                doubts = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(c[order]) for c in said], names=["w", "f", "r"]))
+                cols = [pa.array(rid + np.arange(m)), b.column(0).slice(s, m), pa.array(np.bincount(row, minlength=m)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), lists, doubts]
                 rid += m
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    part = materialize(d.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, rest array<long>"), "scores")
-    rest = part.select("rid", F.explode("rest").alias("key")).join(tail.drop("weight"), "key").groupBy("rid").agg(F.sum(F.when(F.col("kind") == 0, F.col("value")).otherwise(0.0)).alias("words"), F.sum("value").alias("all"), F.count(F.when(F.col("kind") == 0, 1)).alias("more"))
-    out = part.drop("rest").join(rest, "rid", "left")
+    part = materialize(d.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, rest array<long>, doubt array<struct<w:long,f:long,r:long>>"), "scores")
+    rest = part.select("rid", F.explode("rest").alias("key")).join(tail.drop("weight"), "key").select("rid", "kind", "value")
+    if tree.frame.others[0] is not False:
+        doubt = part.select("rid", F.inline("doubt")).join(tree.others.select("w", F.lit(True).alias("is")), "w", "left")
+        doubt = doubt.select("rid", F.when(F.col("is"), F.col("f")).otherwise(F.col("r")).alias("key"))
+        rest = rest.union(doubt.join(tree.entries, "key").select("rid", "kind", "value"))
+    rest = rest.groupBy("rid").agg(F.sum(F.when(F.col("kind") == 0, F.col("value")).otherwise(0.0)).alias("words"), F.sum("value").alias("all"), F.count(F.when(F.col("kind") == 0, 1)).alias("more"))
+    out = part.drop("rest", "doubt").join(rest, "rid", "left")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base_score") + F.coalesce("words", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("all", F.lit(0.0))).alias("score"))

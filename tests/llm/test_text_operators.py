@@ -344,6 +344,36 @@ def test_suffix_tree_is_a_distribution(spark, depth):
         assert abs(total - 1) < 1e-6, (p, total)
 
 
+@pytest.mark.parametrize("told", [True, False])
+def test_suffix_tree_outside_the_frame(spark, monkeypatch, told):
+    """What is sent to executors doesn't change the model: scores are the same with nearly all words and states outside."""
+    import random
+
+    rng = random.Random(5)
+    text = lambda: " ".join(w for _ in range(40) for w in rng.choice(["a b c", "d b e", "a c", "f g", f"r{rng.random()}"]).split())
+    train = spark.createDataFrame([(k, text()) for k in range(80)], "doc_id long, text string")
+    whole = {r.doc_id: r for r in suffix_tree.score(train, suffix_tree.fit(train, 3)).collect()}
+    if not told:
+        monkeypatch.setattr(suffix_tree, "_told", lambda ids: None)
+    tree = suffix_tree.fit(train, 3, frame_size=2)
+    assert len(tree.frame.words) == 2 and all(len(x[0]) <= 2 for x in tree.shares)
+    for head in (suffix_tree.HEAD, 5):
+        for r in suffix_tree.score(train, tree, head).collect():
+            assert r.score == pytest.approx(whole[r.doc_id].score, abs=1e-6) and r.n_known == whole[r.doc_id].n_known
+    assert any(r.score > r.base_score + 1 for r in whole.values())
+
+
+def test_suffix_tree_counts_don_t_shrink_with_the_corpus(spark):
+    """36 occurrences among 4,000,000 tokens make a word and a state."""
+    rows = [(k, "a b c d " * 25_000 + ("p q" if k < 36 else "")) for k in range(40)]
+    tree = suffix_tree.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 1)
+    t = suffix_tree.tokens([b"p q"])[0]
+    assert tree.n > 4_000_000 and (tree.frame.numbers(t) < len(tree.frame.words)).all()
+    assert tree.shares[0][2][tree.frame.numbers(t)[0]]  # p's state is kept
+    got = suffix_tree.score(spark.createDataFrame([(1, "p q")], "doc_id long, text string"), tree).first()
+    assert got.score > got.base_score + 4
+
+
 # ---------------------------------------------------------------- 9: Jaccard
 
 
