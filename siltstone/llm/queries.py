@@ -25,7 +25,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.rules_with(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,20 @@ def test_rules_on_labels(spark):
     assert rate[1, 0] >= 0.98 and rate.get((0, 0), 0) <= 0.1
 
 
+def test_rules_find_abuse_in_every_language(spark):
+    """Of labelled toxic documents of each language nearly all go, and of the good ones nearly all stay."""
+    dir = SF.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{dir}/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.join(labels, "doc_id")
+    got = quality_rules.apply_rules(some, quality_rules.rules_with(docs, labels)).where("not base_failed").join(some.select("doc_id", "lang", "quality", "toxic"), "doc_id").groupBy("lang", "quality", "toxic").agg(F.avg(F.col("kept").cast("int"))).collect()
+    rate = {(lang, q, t): x for lang, q, t, x in got}
+    for lang in ("en", "fr", "de", "es"):
+        assert max((x for (g, _, t), x in rate.items() if g == lang and t == 1), default=0) <= 0.1, lang
+        assert rate[lang, 1, 0] >= 0.97, lang
+    terms = [("idiot", 0.0)]
+    assert quality_rules.learnt_rule(terms).rejects(quality_rules.Text(b"what Idiots they are", None))
+
+
 # ---------------------------------------------------------------- 4: resampling
 
 
