@@ -6,9 +6,9 @@ these six characters, so Python and JVM code agree.
 
 from __future__ import annotations
 
-import atexit
+import contextlib
 import ctypes
-import shutil
+import hashlib
 import tempfile
 import time
 import uuid
@@ -16,31 +16,46 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\f\r"
-#: Rows of documents in an Arrow batch; bounds what a Python worker holds at once.
-BATCH_ROWS = 500
+_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where it is unset (tests, local mode)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    global _own
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="siltstone-")
-        atexit.register(shutil.rmtree, _own, ignore_errors=True)
-    return "file://" + _own
+    """This application's folder under the shared one that ``spark.checkpoint.dir`` names; it goes when the session
+    ends. Where the setting is missing a private folder serves local mode; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _roots:
+        root = sc.getConf().get("spark.checkpoint.dir", None)
+        if not root:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        root = f"{root.rstrip('/')}/siltstone/{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots[sc.applicationId] = root
+    return _roots[sc.applicationId]
 
 
-_own: str | None = None
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/siltstone/{tag}-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time of a job."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -48,15 +63,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     Small tables get few files: partitions are merged up to the advisory size rather than spread over all cores.
     """
-    df.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small enough for a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def row_key() -> Column:
+    """A number for each row of a written table that reruns of a task agree on; to spread rows that are all alike."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
 
 
 def uniform(*cols: Column | str, seed: int = 0) -> Column:
@@ -65,6 +80,13 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
     return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
 
 
+def about(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """All rows, or a repeatable random share of them of ``most`` rows on average, by the hash of ``key``: no task
+    gathers or sorts anything."""
+    n = df.count()
+    return df if n <= most else df.where(uniform(key, seed=seed) < most / n)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only. ``lower`` does the same on pure ASCII and is far cheaper than ``translate``."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -76,44 +98,90 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Bytes of text that are worked on at once; a longer text stands alone.
+GROUP_BYTES = 1 << 19
+
+
+def text_groups(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, end, texts) of successive slices of GROUP_BYTES or so: only they become Python objects and work arrays."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > GROUP_BYTES:
+            yield start, i, texts(column.slice(start, i - start))
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes), texts(column.slice(start))
+    give_back()
+
+
 # ---------------------------------------------------------------- vectorised word hashing
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_power = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Longer spans are hashed one by one.
+LONG = 64
+_MIX = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25))
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_power["up"]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, step in (("up", _STEP), ("down", _BACK)):
-            x = np.full(size, step, np.uint64)
-            x[0] = 1
-            _power[name] = np.multiply.accumulate(x)
-    return _power["up"], _power["down"]
+def mix64(x: np.ndarray, which: int = 0) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every input bit."""
+    m, half = _MIX[which], np.uint64(32)
+    x = (x ^ (x >> half)) * m
+    x = (x ^ (x >> half)) * m
+    return x ^ (x >> half)
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that spreads every input bit."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+_FIRST = tuple(mix64(np.arange(LONG + 1, dtype=np.uint64) + _ODD[k], k) for k in (0, 1))
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """At each byte it and the next seven, as a number; the end counts as followed by zeros."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes."""
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of each span of bytes; ``which`` (0, 1) chooses one of two independent ones.
+
+    Eight bytes after the other are mixed in, each time by a bijection: spans of up to eight bytes and of one length
+    never share a hash, longer ones only by chance.
+    """
+    at, n = eights(raw), ends - starts
+    h = mix64(_FIRST[which][np.minimum(n, LONG)] ^ (at[starts] & _MASK[np.minimum(n, 8)]), which)
+    todo = np.flatnonzero(n > 8)
+    for k in range(8, LONG, 8):
+        todo = todo[n[todo] > k]
+        if not len(todo):
+            break
+        h[todo] = mix64(h[todo] ^ (at[starts[todo] + k] & _MASK[np.minimum(n[todo] - k, 8)]), which)
+    todo = todo[n[todo] > LONG]
+    if len(todo):
+        own = [hashlib.blake2b(raw[a:b], digest_size=8, salt=bytes([which])).digest() for a, b in zip(starts[todo].tolist(), ends[todo].tolist(), strict=True)]
+        h[todo] = np.frombuffer(b"".join(own), np.uint64)
+    return h
+
+
+def same_spans(raw: np.ndarray, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether span i of one list has the bytes of span i of the other."""
+    n = a_ends - a
+    out, at = n == b_ends - b, eights(raw)
+    todo = np.flatnonzero(out)
+    for k in range(0, LONG, 8):
+        todo = todo[n[todo] > k]
+        if not len(todo):
+            return out
+        same = (at[a[todo] + k] ^ at[b[todo] + k]) & _MASK[np.minimum(n[todo] - k, 8)] == 0
+        out[todo[~same]] = False
+        todo = todo[same]
+    for i in todo[n[todo] > LONG].tolist():
+        out[i] = np.array_equal(raw[a[i] : a_ends[i]], raw[b[i] : b_ends[i]])
+    return out
 
 
 def word_spans(parts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,33 +195,27 @@ def word_spans(parts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
     return raw, starts, ends, np.concatenate([[0], np.searchsorted(starts, np.cumsum(sizes + 1))])
 
 
-def hash_words(parts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(parts: list[bytes], lower: bool = False, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word of all parts in order, number of words up to and with each part, led by 0)."""
     raw, starts, ends, bounds = word_spans(parts, lower)
-    return hash_spans(raw, starts, ends), bounds
+    return hash_spans(raw, starts, ends, which), bounds
 
 
-def hash_runs(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n successive items: entry i covers items i .. i+n-1."""
+def hash_runs(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    """Hash of each run of n successive items: entry i covers items i .. i+n-1. Runs of 1, 2, 4, ... items are joined,
+    each time through a bijection, so that no pattern of the items cancels."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix64((total[n:] - total[:-n]) * down[: len(h) - n + 1])
-
-
-def in_groups(parts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Slices of parts of about ``most`` bytes, so that numpy's work arrays stay small; a longer text stands alone."""
-    start = size = 0
-    for i, x in enumerate(parts):
-        if size and size + len(x) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(x)
-    if start < len(parts):
-        yield start, len(parts)
-    give_back()
+    m, out, done, run, size = len(h) - n + 1, None, 0, h, 1
+    while True:
+        if n & size:
+            part = run[done : done + m]
+            out = part if out is None else mix64(out * _ODD[which] + part, which)
+            done += size
+        if done == n:
+            return out if n > 1 else out.copy()
+        run = mix64(run[:-size] * _ODD[1 - which] + run[size:], which)
+        size *= 2
 
 
 #: What a worker keeps between tasks: how to drop it, and when it was last used.

@@ -1,8 +1,10 @@
 """Operator 4: a quality classifier by importance resampling.
 
 Two generative models of hashed word n-grams (1 and 2 words): one of the target texts (documents labelled good), one
-of all raw texts. A document's weight is the ratio of the two per n-gram, its key the log weight over a temperature
-plus Gumbel noise, and the k greatest keys are the sample: a draw without replacement by weight.
+of all raw texts. A document's importance weight is the ratio of its two likelihoods, its key the log weight plus Gumbel
+noise. The k greatest keys are the sample: a draw without replacement with chances in proportion to the weights. The
+n-grams of a document are far from independent, so one with more than EFFECTIVE of them counts as that many: else the
+weights of long documents would be hundreds of nats apart, and noise of one or two nats would decide nothing.
 """
 
 from __future__ import annotations
@@ -14,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, hash_runs, hash_words, in_groups, materialize, texts, uniform
+from .common import about, hash_runs, hash_words, materialize, text_groups, uniform
 
 BITS = 16
-#: Labelled documents used, half of them to fit the target model and half to set k; by random number of the id.
+#: Labelled documents used on average, half of them to fit the target model and half to set k; by hash of the id.
 MOST_LABELS = 50_000
 #: Share of the good labelled documents that may fall below the weight from which k is counted.
 LOSS = 0.005
-#: In log weight per n-gram: small, so that noise decides between like documents only.
-TEMPERATURE = 0.002
+#: Independent n-grams that a document counts as, at most.
+EFFECTIVE = 64
 #: Keys that the driver sorts to find the last one taken.
 SORTED_KEYS = 100_000
 
@@ -58,35 +60,33 @@ def kth_key(keys: DataFrame, k: int, rows: int, most: int = SORTED_KEYS) -> tupl
     return at["key"], at["doc_id"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 23, temperature: float = TEMPERATURE, loss: float = LOSS, k: int | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_grams, log_weight (per n-gram, null without words), key and kept, for every document.
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 23, effective: int = EFFECTIVE, loss: float = LOSS, k: int | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_grams, log_weight (null without words), key and kept, for every document.
 
     ``labels``: doc_id and quality (1 good, 0 bad; null ignored; the least counts among repeated ones). Without ``k``
     it is the number of documents whose log weight reaches that of all but ``loss`` of the good labelled documents
     held out from the fit; without such labels, all documents with words. Texts null or without words are never kept.
-    Among equal keys the smaller id goes first; repeated rows share their keys and all stay if one does.
+    A null id is no labelled one. Among equal keys the smaller id goes first, a null id last; the noise of a document
+    follows from its id, so repeated rows share their keys and all stay if one does.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
-    chosen = named.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(MOST_LABELS).toArrow()
-    ids = chosen.column("doc_id").to_numpy()
-    good = ids[chosen.column("q").to_numpy() == 1]
-    fit = np.sort(good[0::2])  # in random order until here
-    held = np.sort(good[1::2])
+    good = np.sort(np.array([r[0] for r in about(named, "doc_id", MOST_LABELS, seed).where("q = 1").select("doc_id").collect()], np.int64))
+    odds = np.random.default_rng(seed).random(len(good)) < 0.5
+    fit, held = good[odds], good[~odds]
     shared = spark.sparkContext.broadcast((fit, held))
 
-    def member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
+    def member(ids: pa.Array, of: np.ndarray) -> np.ndarray:
+        x, known = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+        return known & (of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x) if len(of) else np.zeros(len(x), bool)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
         for b in batches:
-            parts = texts(b.column(1))
-            wanted = member(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), shared.value[0])
-            for s, e in in_groups(parts):
-                row, g = grams(parts[s:e])
+            wanted = member(b.column(0), shared.value[0])
+            for s, e, parts in text_groups(b.column(1)):
+                row, g = grams(parts)
                 raw += np.bincount(g, minlength=1 << BITS)
                 target += np.bincount(g[wanted[s:e][row]], minlength=1 << BITS)
         seen = np.flatnonzero(raw)
@@ -101,19 +101,18 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 23, temperature: fl
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = texts(b.column(1))
-            test = member(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), shared.value[1])
-            for s, e in in_groups(parts):
-                row, g = grams(parts[s:e])
+            test = member(b.column(0), shared.value[1])
+            for s, e, parts in text_groups(b.column(1)):
+                row, g = grams(parts)
                 n = np.bincount(row, minlength=e - s)
                 total = np.bincount(row, weights=ratio.value[g], minlength=e - s)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(n, pa.int64()), pa.array(total / np.maximum(n, 1), mask=n == 0), pa.array(test[s:e])], names=["doc_id", "n_grams", "log_weight", "held_out"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(n, pa.int64()), pa.array(total * np.minimum(1, effective / np.maximum(n, 1)), mask=n == 0), pa.array(test[s:e])], names=["doc_id", "n_grams", "log_weight", "held_out"])
 
     weighed = materialize(d.mapInArrow(weigh, "doc_id long, n_grams long, log_weight double, held_out boolean"), "weights")
-    gumbel = -F.log(-F.log(uniform(F.lit("gumbel"), "doc_id", seed=seed)))
-    keyed = weighed.withColumn("key", F.col("log_weight") / temperature + gumbel)
+    gumbel = -F.log(-F.log(uniform(F.lit("gumbel"), F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), seed=seed)))
+    keyed = weighed.withColumn("key", F.col("log_weight") + gumbel)
     if k is None:
-        sample = np.sort(np.array([r[0] for r in weighed.where("held_out and log_weight is not null").select("log_weight").limit(MOST_LABELS).collect()]))
+        sample = np.sort(np.array([r[0] for r in weighed.where("held_out and log_weight is not null").select("log_weight").collect()]))
         least = float(sample[int(loss * len(sample))]) if len(sample) else -np.inf
         k = weighed.where(F.col("log_weight") >= F.lit(least)).count()
     keys = keyed.where("key is not null").select("doc_id", "key")

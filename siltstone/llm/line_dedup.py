@@ -24,7 +24,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, *, id_col: str = "doc_id",
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("print", F.xxhash64("text"))
     lines = d.select("id", "print", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keys = lines.select("id", "print", "pos", ascii_lower(F.trim(F.col("line"), F.lit(SPACE))).alias("key")).where(F.char_length("key") >= min_chars)
-    hashed = keys.select("id", "print", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
+    # two hashes of different seeds (the first argument sets the second's): 128 bits, so that of 1e12 different lines two
+    # agree with odds of 1e-15
+    hashed = keys.select("id", "print", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     # written, so that the join below gets its own exchanges, and a line found everywhere can be split among tasks
     first = materialize(hashed.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("unnamed")).where("low < high or (low is not null and unnamed)").select("h1", "h2", "low"), "repeated-lines")
     gone = hashed.join(first, ["h1", "h2"]).where("id > low or id is null").groupBy("id", "print").agg(F.sort_array(F.collect_set("pos")).alias("gone"))

@@ -1,37 +1,43 @@
 """Operator 10: mixing sources to target weights by Pareto order sampling.
 
-Each document has an expected number of copies. Its whole part is certain; for the rest documents are ranked by
-their random odds divided by the odds of that rest, and the first ones are taken until the source's words are
-reached. The cut is found by a histogram of ranks, so no source is gathered: only the documents of the one histogram
-bucket in which the cut falls meet in a task.
+Within a source a document's expected number of copies grows with its weight, by default the square root of its size.
+The whole part is certain; for the rest documents are ranked by their random odds divided by the odds of that rest, and
+those before a cut in this order are taken, so that the source's words come to its target. The cut is found by a
+histogram of ranks, so no source is gathered: only the documents of the one histogram bucket in which the cut falls meet
+in a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, texts, uniform
+from .common import materialize, text_groups, uniform
 
 #: Documents that the bucket of the cut holds on average, as long as a source needs no more than MOST_BUCKETS.
 CUT_DOCS = 512
 MOST_BUCKETS = 1 << 16
+#: Weights are rounded to this many steps for each power of two, so that a source has few different ones.
+STEPS = 8
+#: Share of a target by which its source may miss it before a document across the cut is passed over for the next.
+NEAR = 0.005
 
 
 def sized(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source and size: the number of words of the whole text, 0 for a null."""
-    bound_batches(docs.sparkSession)
+    """doc_id, source, size (the number of words of the whole text, 0 for a null) and key (a hash of the text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(x.split()) for x in texts(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+            for s, e, parts in text_groups(b.column(2)):
+                n = [len(x.split()) for x in parts]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), pa.array(n, pa.int64()), b.column(3).slice(s, e - s)], names=["doc_id", "source", "size", "key"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).mapInArrow(count, "doc_id long, source string, size long")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
+    return d.mapInArrow(count, "doc_id long, source string, size long, key long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
@@ -55,25 +61,51 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: flo
     return per.select("source", "source_size", "n", F.coalesce(F.least(F.col("common") * F.col("weight"), F.col("most")), F.lit(0.0)).alias("target"))
 
 
+def _same(a: str, b: str) -> F.Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def factors(rows: DataFrame, per: DataFrame, limit: float) -> DataFrame:
+    """Per source s: the factor by which weights become expected copies, ``limit`` at most, that add up to its target.
+
+    As in ``targets``: with a source's weights in falling order, those before the point where a common factor covers
+    the target are at the limit. A row for each source and rounded weight.
+    """
+    by = rows.groupBy("source", "w").agg(F.sum("size").alias("words")).withColumnRenamed("source", "s")
+    by = by.join(per.select("source", "target"), _same("s", "source"))
+    fall = Window.partitionBy("s").orderBy(F.desc("w"))
+    full = F.coalesce(F.sum("words").over(fall.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * F.lit(float(limit))
+    mass = F.sum(F.col("words") * F.col("w")).over(fall.rowsBetween(0, Window.unboundedFollowing))
+    by = by.withColumn("level", (F.col("target") - full) / F.when(mass > 0, mass))
+    return by.groupBy("s").agg(F.coalesce(F.max("level"), F.lit(0.0)).alias("factor"))
+
+
 def mix(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0, seed: int = 17, weight_col: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken.
 
-    ``sizes``: doc_id, source, size, and perhaps a positive ``weight_col`` by which expected copies within a source
-    differ. A document is taken 0 to ``limit`` (a whole number) times; ``taken`` = copies * size. Sources come near
-    their targets to within a short document. Documents without words are taken with the others' odds and add nothing.
-    Reruns agree: the random number of a document follows from its id, size and the seed; among repeated rows it is
-    the same. A null source is a source of its own.
+    ``sizes``: doc_id, source, size, perhaps key (tells documents of one id or none apart) and a positive ``weight_col``
+    in proportion to which expected copies within a source differ (to the nearest of STEPS steps a power of two; by
+    default the square root of the size). A document is taken 0 to ``limit`` (a whole number) times; ``taken`` = copies
+    * size. What is taken is a prefix of the order that comes as near to the target as can be; only where it misses by
+    more than NEAR of the target, for a very long document at the cut, that one is passed over, or taken at the end. Documents without
+    words are taken with the least odds and add nothing. Reruns agree: the random number of a document follows from its
+    id, size, key and the seed; repeated rows are numbered. Ids pass through unchanged, null ones too. A null source is
+    a source of its own.
     """
-    rows = sizes.select("doc_id", "source", "size", (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("w"))
-    rows = materialize(rows, "sizes")
-    per = materialize(targets(rows, weights, limit).join(rows.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("size") * F.col("w")).alias("mass")), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
+    w = F.col(weight_col).cast("double") if weight_col else F.sqrt(F.greatest(F.col("size"), F.lit(1)))
+    w = F.pow(F.lit(2.0), F.round(F.log2(w) * STEPS) / STEPS)
+    key = F.col("key") if "key" in sizes.columns else F.lit(0).cast("long")
+    rows = sizes.select("doc_id", "source", "size", key.alias("key"), w.alias("w")).groupBy("doc_id", "source", "size", "key", "w").agg(F.count("*").alias("many"))
+    rows = materialize(rows.select("doc_id", "source", "size", "key", "w", F.explode(F.sequence(F.lit(1).cast("long"), "many")).alias("nth")), "sizes")
+    per = materialize(targets(rows, weights, limit), "targets")
+    per = materialize(per.join(factors(rows, per, limit), _same("source", "s")).drop("s"), "factors")
     few = per.count() <= 100_000  # else the sources themselves are many, and Spark joins as it sees fit
     buckets = F.least(F.lit(MOST_BUCKETS), F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") / CUT_DOCS))))).cast("int")
-    per = per.select(F.col("source").alias("s"), "source_size", "target", F.coalesce(F.col("target") / F.when(F.col("mass") > 0, F.col("mass")), F.lit(0.0)).alias("factor"), buckets.alias("buckets"))
+    per = per.select(F.col("source").alias("s"), "source_size", "target", "factor", buckets.alias("buckets"))
+    d = rows.join(F.broadcast(per) if few else per, _same("source", "s")).drop("s")
     copies = F.least(F.lit(float(limit)), F.col("factor") * F.col("w"))
-    d = rows.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    d = d.withColumn("certain", F.floor(copies).cast("long")).withColumn("p", copies - F.floor(copies))
-    u = uniform("doc_id", "size", seed=seed)
+    d = d.withColumn("certain", F.floor(copies + 1e-9).cast("long")).withColumn("p", F.greatest(copies - F.col("certain"), F.lit(0.0)))
+    u = uniform(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "size", "key", "nth", seed=seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     # odds/(1+odds) keeps the order and lies in (0, 1)
     share = F.col("rank") / (1 + F.col("rank"))
@@ -81,27 +113,32 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float =
     base = d.groupBy("source", "target").agg(F.sum(F.col("certain") * F.col("size")).alias("sure"))
     hist = d.where("bucket is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     hist = hist.select(F.col("source").alias("hs"), "bucket", "words")
-    run = hist.join(base, F.col("hs").eqNullSafe(F.col("source"))).withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
+    run = hist.join(base, _same("hs", "source")).withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
     run = run.withColumn("gap", F.col("target") - F.col("sure") - F.col("before"))
     cut = run.where("gap > 0").groupBy("source").agg(F.max_by(F.struct("bucket", "gap"), "bucket").alias("x")).select(F.col("source").alias("cs"), F.col("x.bucket").alias("cut"), F.col("x.gap").alias("gap"))
     cut = materialize(cut, "cuts")
-    d = d.join(F.broadcast(cut) if few else cut, F.col("source").eqNullSafe(F.col("cs")), "left").drop("cs")
+    d = d.join(F.broadcast(cut) if few else cut, _same("source", "cs"), "left").drop("cs")
     out = ["doc_id", "source", "size", "source_size", "target", "copies"]
     done = d.where("bucket is null or cut is null or bucket <> cut").withColumn("copies", F.col("certain") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0)).select(*out)
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        """In order of rank, each document that still fits, or that leaves the source nearer to its target."""
-        pdf = pdf.sort_values(["rank", "doc_id", "size"], na_position="last", kind="stable").reset_index(drop=True)
-        left, take = float(pdf["gap"].iloc[0]) if len(pdf) else 0.0, []
-        for size in pdf["size"]:
-            take.append(size <= left)
-            left -= size if take[-1] else 0
-        skipped = [(abs(left - s), i) for i, s in enumerate(pdf["size"]) if not take[i]]
-        if skipped and min(skipped)[0] < left:
-            take[min(skipped)[1]] = True
-        pdf["copies"] = pdf["certain"] + pd.Series(take, dtype="int64")
-        return pdf[out]
-
-    edge = d.where("bucket = cut").select("doc_id", "source", "size", "source_size", "target", "certain", "rank", "gap")
-    filled = edge.groupBy("source").applyInPandas(fill, "doc_id long, source string, size long, source_size long, target double, copies long")
+    def fill(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("rank", "doc_id", "size", "key", "nth")])
+        size, left, take = t.column("size").to_numpy(), t.column("gap")[0].as_py(), np.zeros(t.num_rows, np.int64)
+        near = NEAR * t.column("target")[0].as_py()
+        over: list[int] = []
+        for i, n in enumerate(size.tolist()):
+            if n <= left:
+                take[i], left = 1, left - n
+            elif min(left, n - left) <= near:
+                take[i], left = n - left < left, 0
+                break
+            else:
+                over.append(i)
+        miss, i = min(((abs(int(size[i]) - left), i) for i in over), default=(left, -1))
+        if miss < left:
+            take[i] = 1
+        return t.select(out[:-1]).append_column("copies", pa.array(t.column("certain").to_numpy() + take))
+
+    edge = d.where("bucket = cut").select("doc_id", "source", "size", "source_size", "target", "certain", "rank", "gap", "key", "nth")
+    filled = edge.groupBy("source").applyInArrow(fill, "doc_id long, source string, size long, source_size long, target double, copies long")
     return done.union(filled).withColumn("taken", F.col("copies") * F.col("size"))

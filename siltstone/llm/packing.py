@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, in_groups, materialize, texts
+from .common import materialize, row_key, text_groups
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,24 +34,23 @@ class Capacity:
     attention: int | None = None
 
 
-def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, longest: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, longest: int, *, special: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of each document. A null text is empty and gives the end token alone; only documents longer
-    than ``longest`` are cut. A null id stays null; repeated rows give repeated pieces."""
-    bound_batches(docs.sparkSession)
+    than ``longest`` are cut. A null id stays null; repeated rows give repeated pieces. ``special``: see ``Encoder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, special)
         for batch in batches:
-            ids, parts = batch.column(0).to_pylist(), texts(batch.column(1))
-            rows: list[tuple] = []
-            for s, e in in_groups(parts):
-                found, reach = enc.encode(parts[s:e])
+            ids = batch.column(0).to_pylist()
+            for s, e, parts in text_groups(batch.column(1)):
+                found, reach = enc.encode(parts)
+                rows: list[tuple] = []
                 for doc, a, b in zip(ids[s:e], reach, reach[1:], strict=False):
                     x = np.append(found[a:b], end_id).astype("<u4")
                     for k, at in enumerate(range(0, len(x), longest)):
                         part = x[at : at + longest]
                         rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
@@ -103,11 +102,12 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), score: str = "norm") ->
     Every piece is placed once, sequences are gapless from offset 0, ties and repeated rows are interchangeable.
     An empty table gives an empty result.
     """
-    p = materialize(pieces, "pieces")
+    p = materialize(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
     histogram = {int(r[0]): int(r[1]) for r in p.groupBy("length").count().collect()}  # at most cap.tokens rows
     places, _ = plan(histogram, cap, score)
     salts = max(64, math.isqrt(max(histogram.values(), default=0)))
-    salted = p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    # by the row's place in the written table, so that rows that are all alike are spread, too
+    salted = p.withColumn("salt", F.pmod(row_key(), F.lit(salts)))
     before = salted.groupBy("length", "salt").count().withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).select("length", "salt", "base")
     ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))).join(before, ["length", "salt"])
     key = places[:, 0] << 44 | places[:, 1]

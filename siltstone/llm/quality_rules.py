@@ -1,12 +1,15 @@
 """Operator 3: quality rules as a short-circuit cascade.
 
-Each rule's cost and rejection rate are measured on a sample of documents, and the rules run in order of rejections
-per second; the first that rejects a document ends its cascade. The verdict is a conjunction and doesn't depend on
-the order, so a sample that misleads costs time and nothing else.
+Each rule's cost and rejection rate are measured on a random sample of documents, and the rules run in order of
+rejections per second; the first that rejects a document ends its cascade. The verdict is a conjunction and doesn't
+depend on the order, so a sample that misleads costs time and nothing else. Costs are rounded to powers of COST_STEP,
+so that the order, and with it the rule named for a rejection, doesn't follow the clock's noise.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 import time
 from collections import Counter
@@ -19,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, bound_batches, hash_runs, hash_spans, in_groups, texts, word_spans
+from .common import _IS_SPACE, SPACE, about, hash_runs, hash_spans, same_spans, text_groups, uniform, word_spans
 
-#: Documents on which costs and rejections are measured; only the order of rules follows from them.
-SAMPLE = 1000
+#: Documents, on average, on which costs and rejections are measured; only the order of rules follows from them.
+SAMPLE, REPEATS, COST_STEP = 1000, 3, 8
 SYMBOLS = b"#*$%&|<>"
 #: Words of abuse; a rule's parameter.
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -64,6 +67,11 @@ class Text:
     def words(self) -> list[bytes]:
         return self.raw.split()
 
+    @cached_property
+    def lines(self) -> list[bytes]:
+        """Lines with a word, without white space at their ends."""
+        return [x for x in (y.strip() for y in self.raw.split(b"\n")) if x]
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -82,40 +90,75 @@ def _abuse(words: tuple[str, ...], apart: int) -> Callable[[Text], bool]:
     return lambda t: (hits := len(found.findall(t.raw))) > 0 and hits * apart >= t.stats.n_words
 
 
+_bullet = ("•".encode(), "‣".encode(), "▪".encode(), "●".encode(), b"- ", b"* ")
+_no_letter = re.compile(rb"(?<![^ \t-\r])[^A-Za-z\x80-\xff \t-\r]+(?![^ \t-\r])")
+
+
+def _top_pair(t: Text) -> bool:
+    """The commonest pair of words makes more than a fifth of the text."""
+    (a, b), n = Counter(zip(t.words, t.words[1:], strict=False)).most_common(1)[0]
+    return 5 * n * (len(a) + len(b)) > sum(map(len, t.words))
+
+
+def _same_paragraphs(t: Text) -> bool:
+    """Of four paragraphs or more, over three tenths repeat an earlier one."""
+    p = [x for x in (y.strip() for y in t.raw.split(b"\n\n")) if x]
+    return len(p) >= 4 and 10 * (len(p) - len(set(p))) > 3 * len(p)
+
+
+#: They see documents of 50 words or more.
 RULES = (
     Rule("symbols", lambda t: 10 * t.stats.n_symbols > t.stats.n_words),
     Rule("word_length", lambda t: not 5 * t.stats.n_words <= 2 * t.stats.word_chars <= 24 * t.stats.n_words),
     Rule("duplicate_lines", lambda t: t.stats.n_dup_lines >= 3 and 2 * t.stats.n_dup_lines > t.raw.count(b"\n") + 1),
+    Rule("duplicate_paragraphs", _same_paragraphs),
     Rule("exclamations", lambda t: 2 * t.raw.count(b"!") > t.stats.n_words),
+    Rule("bullets", lambda t: len(t.lines) >= 3 and 10 * sum(x.startswith(_bullet) for x in t.lines) > 9 * len(t.lines)),
+    Rule("ellipses", lambda t: len(t.lines) >= 3 and 10 * sum(x.endswith((b"...", "…".encode())) for x in t.lines) > 3 * len(t.lines)),
     Rule("shouting", _shouts),
+    Rule("words_without_letters", lambda t: 5 * len(_no_letter.findall(t.raw)) > t.stats.n_words),
     Rule("few_distinct_words", lambda t: t.stats.n_words >= 100 and 10 * len(set(t.words)) < t.stats.n_words),
+    Rule("one_pair_of_words", _top_pair),
     Rule("digits", lambda t: 2 * sum(t.raw.count(b"%d" % k) for k in range(10)) > t.stats.word_chars),
     Rule("abuse", _abuse(ABUSE, 500)),
 )
 
 
-#: For learning terms of abuse: labelled documents of a kind (toxic, others), their first characters, prefix lengths,
-#: least shares of a text's words that start with a term, terms of a language, what a false alarm costs, least gain.
-LEARN_ROWS, LEARN_CHARS, PREFIXES, SHARES, TERMS, FALSE_ALARM, LEARN_GAIN = 3000, 20_000, (4, 5, 6, 8), (0.0, 0.005, 0.01, 0.02), 20, 10, 0.02
+#: For learning terms of abuse: labelled documents of a kind (toxic, others) on average, prefix lengths, least shares of
+#: a text's words that start with a term, terms of a language, what a false alarm costs, least gain.
+LEARN_ROWS, PREFIXES, SHARES, TERMS, FALSE_ALARM, LEARN_GAIN = 3000, (4, 5, 6, 8), (0.0, 0.005, 0.01, 0.02), 20, 10, 0.02
+_to_blank = dict.fromkeys(map(ord, SPACE), " ")
 
 
 def _starts(raw: bytes) -> tuple[int, Counter[str]]:
     """Number of words, and how many of them start with each prefix (a shorter word counts whole)."""
-    w = raw.decode("utf-8", "replace").lower().split()
+    w = raw.decode("utf-8", "replace").lower().translate(_to_blank).split(" ")
+    w = [x for x in w if x]
     return max(1, len(w)), Counter(p for x in w for p in {x[:k] for k in PREFIXES})
 
 
 def learn_abuse(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, float]]:
     """(prefix, share) for every language: a text of which more than that share of words starts with the prefix is abuse.
 
-    Learnt on half of at most LEARN_ROWS toxic and as many other labelled documents, greedily by toxic documents of the
+    Learnt on half of LEARN_ROWS toxic and as many other labelled documents, greedily by toxic documents of the
     language found, less FALSE_ALARM times the share of other documents hit; a term stays if it still gains on the
-    other half. Languages without labelled toxic documents get no terms. The sample is by hash of the id.
+    other half. Languages without labelled toxic documents get no terms. The sample is by hash of the id, its texts are
+    whole.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, LEARN_CHARS).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"))
     lab = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
-    picked = [lab.where(c).orderBy(F.xxhash64("id"), "id").limit(LEARN_ROWS) for c in ("toxic = 1", "toxic <> 1")]
-    rows = [(r.id % 2, r.toxic == 1, r.lang, *_starts((r.text or "").encode())) for r in d.join(F.broadcast(picked[0].union(picked[1])), "id").collect()]
+    picked = [about(lab.where(c), "id", LEARN_ROWS) for c in ("toxic = 1", "toxic <> 1")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, e, parts in text_groups(b.column(2)):
+                found = [_starts(x) for x in parts]
+                cols = [*(b.column(k).slice(s, e - s) for k in (0, 1, 3)), pa.array([n for n, _ in found], pa.int64()), pa.array([list(c) for _, c in found], pa.list_(pa.string())), pa.array([list(c.values()) for _, c in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "toxic", "lang", "n", "starts", "counts"])
+
+    some = d.join(F.broadcast(picked[0].union(picked[1])), "id").select(F.col("id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"), "text", "lang")
+    some = some.mapInArrow(read, "id long, toxic int, lang string, n long, starts array<string>, counts array<long>")
+    rows = sorted(((r.id % 2, r.toxic == 1, r.lang, r.n, Counter(dict(zip(r.starts, r.counts, strict=True)))) for r in some.collect()), key=lambda x: (x[2], x[1], x[3], sorted(x[4].items())[:3]))
     terms: list[tuple[str, float]] = []
     clean = [[x for x in rows if not x[1] and x[0] == half] for half in (0, 1)]
     for lang in sorted({x[2] for x in rows if x[1]}):
@@ -142,15 +185,24 @@ def learn_abuse(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     return terms
 
 
+@functools.lru_cache(maxsize=4)
+def _seeker(terms: tuple[tuple[str, float], ...]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for p, share in terms:
+        found.add_word(f" {p}", (p, share))
+    found.make_automaton()
+    return found
+
+
 def learnt_rule(terms: list[tuple[str, float]]) -> Rule:
-    sizes = sorted({len(p) for p, _ in terms})
-    least = dict(terms)
+    terms = tuple(sorted(dict(terms).items()))
 
     def rejects(t: Text) -> bool:
-        w = t.raw.decode("utf-8", "replace").lower().split()
-        # only a prefix as long as PREFIXES allows, or a whole shorter word, is a term
-        n = Counter(x[:k] for x in w for k in sizes if len(x) >= k and x[:k] in least)
-        return any(c > least[p] * max(1, len(w)) for p, c in n.items())
+        text = " " + t.raw.decode("utf-8", "replace").lower().translate(_to_blank)
+        n = Counter(x for _, x in _seeker(terms).iter(text))
+        return bool(n) and any(c > share * max(1, len(t.words)) for (_, share), c in n.items())
 
     return Rule("abuse_learnt", rejects)
 
@@ -161,6 +213,13 @@ def rules_with(docs: DataFrame, labels: DataFrame) -> tuple[Rule, ...]:
     return (*RULES, learnt_rule(terms)) if terms else RULES
 
 
+def _repeat_words(w: list[bytes]) -> int:
+    """Words in 3-word windows found twice or more."""
+    windows = list(zip(w, w[1:], w[2:], strict=False))
+    often = Counter(windows)
+    return len({k + j for k, x in enumerate(windows) if often[x] > 1 for j in range(3)})
+
+
 def measure(parts: list[bytes]) -> list[Stats]:
     """The base statistics, for a group of texts at once."""
     raw, starts, ends, bounds = word_spans(parts)
@@ -182,11 +241,18 @@ def measure(parts: list[bytes]) -> list[Stats]:
         inside = np.flatnonzero(doc[: len(tri)] == doc[2:])
         order = inside[np.lexsort((tri[inside], doc[inside]))]
         same = (tri[order[1:]] == tri[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+        a, b = order[1:][same], order[:-1][same]
+        true = np.ones(len(a), bool)
+        for k in range(3):
+            true &= same_spans(raw, starts[a + k], ends[a + k], starts[b + k], ends[b + k])
+        mixed_up = np.unique(doc[a[~true]]).tolist()  # their hashes don't tell windows apart
         twice = np.zeros(len(starts) + 1, np.int64)
         hit = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
         twice[hit] += 1
         np.subtract.at(twice, hit + 3, 1)
         repeat = np.bincount(doc, weights=np.cumsum(twice[:-1]) > 0, minlength=len(parts)).astype(np.int64)
+        for i in mixed_up:
+            repeat[i] = _repeat_words(parts[i].split())
     out = []
     for i, p in enumerate(parts):
         seen: set[bytes] = set()
@@ -199,27 +265,37 @@ def measure(parts: list[bytes]) -> list[Stats]:
     return out
 
 
-def plan_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, *, text_col: str = "text") -> list[Rule]:
-    """The rules by rejections per second, from ``sample`` documents (the first ones at hand)."""
-    bound_batches(docs.sparkSession)
+def plan_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, *, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
+    """The rules by rejections per second, from a random ``sample`` of documents; ties keep the given order."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, rejected = np.zeros(len(rules)), np.zeros(len(rules), np.int64)
         for b in batches:
-            parts = texts(b.column(0))
-            for s, e in in_groups(parts):
-                for raw, stats in zip(parts[s:e], measure(parts[s:e]), strict=True):
+            for _, _, parts in text_groups(b.column(0)):
+                for raw, stats in zip(parts, measure(parts), strict=True):
                     if stats.base_failed:
                         continue
                     for k, rule in enumerate(rules):
-                        began = time.perf_counter()
-                        rejected[k] += rule.rejects(Text(raw, stats))
-                        spent[k] += time.perf_counter() - began
+                        took = math.inf
+                        for _ in range(REPEATS):
+                            text, began = Text(raw, stats), time.perf_counter()
+                            verdict = rule.rejects(text)
+                            took = min(took, time.perf_counter() - began)
+                        rejected[k] += verdict
+                        spent[k] += took
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rules))), pa.array(spent), pa.array(rejected)], names=["rule", "spent", "rejected"])
 
-    seen = docs.select(F.col(text_col).alias("text")).limit(sample).mapInArrow(probe, "rule long, spent double, rejected long")
-    rate = {r[0]: r[1] for r in seen.groupBy("rule").agg(((F.sum("rejected") + 0.01) / (F.sum("spent") + 1e-9)).alias("x")).collect()}
-    return [r for _, _, r in sorted((-rate.get(k, 0.0), k, r) for k, r in enumerate(rules))]
+    n = docs.count()
+    some = docs if n <= sample else docs.where(uniform(id_col, seed=3) < sample / n)
+    seen = some.select(F.col(text_col).alias("text")).mapInArrow(probe, "rule long, spent double, rejected long")
+    total = {r[0]: (r[1], r[2]) for r in seen.groupBy("rule").agg(F.sum("spent"), F.sum("rejected")).collect()}
+    least = min((t for t, _ in total.values() if t), default=1.0)
+
+    def rate(k: int) -> float:
+        t, found = total.get(k, (0.0, 0))
+        return (found + 0.01) / COST_STEP ** round(math.log(max(t, least) / least, COST_STEP))
+
+    return sorted(rules, key=lambda r: (-rate(rules.index(r)), rules.index(r)))
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,16 +305,15 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
     A null or empty text has no words and so fails the base rule. Ids pass through, null and repeated ones too; other
     columns of ``docs`` don't matter. An empty table gives an empty result.
     """
-    order = plan_order(docs, rules, sample, text_col=text_col)
+    order = plan_order(docs, rules, sample, id_col=id_col, text_col=text_col)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = texts(b.column(1))
-            for s, e in in_groups(parts):
-                stats = measure(parts[s:e])
+            for s, e, parts in text_groups(b.column(1)):
+                stats = measure(parts)
                 why = []
-                for raw, x in zip(parts[s:e], stats, strict=True):
+                for raw, x in zip(parts, stats, strict=True):
                     text = Text(raw, x)
                     why.append("base" if x.base_failed else next((r.name for r in order if r.rejects(text)), None))
                 cols = [pa.array([getattr(x, c) for x in stats], pa.int64()) for c in names[1:6]]

@@ -1,19 +1,21 @@
 """Operator 5: removing long passages that repeat across documents, by suffix automata of reference shards.
 
-Only passages that can repeat get near an automaton. A window of words is known by its least k-gram (every copy of
-the window picks the same one): k-grams picked in one document alone rule their windows out, and the windows that are
-left are counted by hash. The smallest document holding a window owns it. Each owner's windows, as passages of whole
-words, make up its reference shard; passages of other documents go to the shard of the owner that they are expected
-to repeat. A shard's automaton is built in the task, copied to as many tasks as a much-repeated owner needs, and the
-passages are streamed through it: matching statistics of ``window`` words or more under a smaller document mark the
-words that go.
-
-Sending each shard's automaton to every document, instead, would cost shards x documents; a window can only match
-where its hash occurs, so nothing is lost by routing.
+Each shard's automaton holds whole-word passages of many documents and knows, for each of its states, the least document
+that holds the state's words. Passages are streamed through it for their matching statistics: where these reach
+``window`` words, the state of the last ``window`` words tells the least document in which they also start, and maximal
+spans of such windows under a smaller document go.
+
+Sending each automaton to every document would cost shards x documents, so hashes thin out and route what is streamed;
+they decide nothing. A window of words is known by its least k-gram (every copy of the window picks the same one):
+windows whose k-gram was picked in one document alone are in no other. Windows left whose own hash is in one document
+alone are in no other, either. Each passage of the rest goes to the shard of the least document with its hashes, to
+which all its copies go as well, and where all passages together, whoever holds them, make up the automaton. If hashes
+of different words agree, strangers meet in a shard, and the automaton, which compares words, keeps them apart.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, hash_runs, hash_words, in_groups, in_sketch, materialize, mix64, sketch, texts
+from .common import hash_runs, hash_words, in_sketch, materialize, sketch, text_groups, texts
 
-#: Stands for a null id: larger than all others.
+#: Stands for a null id: larger than all others but this one, with which it ranks equal.
 LAST = 2**63 - 1
-#: Query passages that a task streams through one automaton, about.
-TASK_PASSAGES = 1000
+#: Passages that a task streams through one automaton, about, and different ones of an owner from which its shard is
+#: copied, each copy to stream a part of them.
+TASK_PASSAGES, COPY_PASSAGES = 1000, 20_000
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -99,8 +102,8 @@ class Automaton:
             p = link[p]
         return clone
 
-    def spans(self, words: list[bytes], doc: int, window: int) -> list[list[int]]:
-        """Maximal spans [from, to) of words in windows that also start in a smaller document of the shard."""
+    def spans(self, words: list[bytes], window: int) -> list[list[int]]:
+        """[from, to, least document] for maximal spans of successive windows that start in the same least document."""
         nxt, link, length, low = self.next, self.link, self.len, self.low
         v = n = 0
         out: list[list[int]] = []
@@ -117,11 +120,10 @@ class Automaton:
                 while length[link[v]] >= window:
                     v = link[v]
                 n = window
-                if low[v] < doc:
-                    if out and out[-1][1] >= i - window:
-                        out[-1][1] = i
-                    else:
-                        out.append([i - window, i])
+                if out and out[-1][2] == low[v] and out[-1][1] == i - 1:
+                    out[-1][1] = i
+                else:
+                    out.append([i - window, i, low[v]])
         return out
 
 
@@ -129,48 +131,45 @@ def _batch(names: list[str], cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes], int, int]]:
-    ids, parts = batch.column(0).to_numpy(zero_copy_only=False), texts(batch.column(1))
-    for s, e in in_groups(parts):
-        yield ids[s:e], parts[s:e], s, e
-
-
 def dedup_passages(docs: DataFrame, window: int = 50, gram: int = 16, *, id_col: str = "doc_id", text_col: str = "text", sketch_keys: int | None = None) -> DataFrame:
     """doc_id, text (the words that stay, joined by one space), n_words, n_removed, spans (array of first word and
     end of what goes).
 
     A window of ``window`` successive words goes if the same words also start in a document with a smaller id,
-    judged on the input. Null texts have no words; a null id is larger than all others; rows sharing an id are one
-    document (of which each row has its own text), so repeated rows don't remove each other. Texts shorter than a window stay. ``sketch_keys``: keys up
-    to which bitmaps are sent to spare a join (tests set 0).
+    judged on the input. Null texts have no words; a null id ranks as 2^63-1, the largest; rows sharing an id are one
+    document (of which each row has its own text), so repeated rows don't remove each other. Texts shorter than a window
+    stay. Other columns of ``docs`` don't matter. ``sketch_keys``: keys up to which bitmaps are sent to spare a join
+    (tests set 0).
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     gram = min(gram, window)
     limit = {} if sketch_keys is None else {"limit": sketch_keys}
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("of"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text"), F.xxhash64(text).alias("of"), F.col(id_col).cast("long").alias("doc_id"))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, parts, _, _ in _slices(b):
+            for s, e, parts in text_groups(b.column(1)):
+                ids = b.column(0).to_numpy()[s:e]
                 h, bounds = hash_words(parts)
                 first, at, g = window_anchors(h, bounds, window, gram)
                 doc = np.searchsorted(bounds, first, side="right") - 1
                 new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
                 yield _batch(["a", "id"], [g[at[new]].view(np.int64), ids[doc[new]]])
 
-    anchors = d.mapInArrow(picked, "a long, id long")
+    anchors = d.select("id", "text").mapInArrow(picked, "a long, id long")
     shared = materialize(anchors.groupBy("a").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("a"), "anchors")
     bits = sketch(shared, **limit)
     if bits is None:
         lists = anchors.join(shared, "a").groupBy("id").agg(F.collect_set("a").alias("anchors"))
-        d_near, known = d.join(lists, "id").select("id", "text", "of", "anchors"), None
+        d_near, known = d.select("id", "text", "of").join(lists, "id").select("id", "text", "of", "anchors"), None
     else:
-        d_near, known = d, spark.sparkContext.broadcast(bits)
+        d_near, known = d.select("id", "text", "of"), spark.sparkContext.broadcast(bits)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, parts, s, e in _slices(b):
+            for s, e, parts in text_groups(b.column(1)):
+                ids = b.column(0).to_numpy()[s:e]
                 h, bounds = hash_words(parts)
                 first, at, g = window_anchors(h, bounds, window, gram)
                 doc = np.searchsorted(bounds, first, side="right") - 1
@@ -184,7 +183,7 @@ def dedup_passages(docs: DataFrame, window: int = 50, gram: int = 16, *, id_col:
                 first, doc = first[near], doc[near]
                 wh = hash_runs(h, window)[first] if len(first) else np.zeros(0, np.uint64)
                 of = b.column(2).to_numpy()[s:e]
-                yield _batch(["w", "id", "of", "first"], [mix64(wh + np.uint64(1)).view(np.int64), ids[doc], of[doc], (first - bounds[doc]).astype(np.int32)])
+                yield _batch(["w", "id", "of", "first"], [wh.view(np.int64), ids[doc], of[doc], (first - bounds[doc]).astype(np.int32)])
 
     seen = d_near.mapInArrow(windows, "w long, id long, of long, first int")
     # written, so that the join below gets its own exchanges, and a window found everywhere can be split among tasks
@@ -198,48 +197,56 @@ def dedup_passages(docs: DataFrame, window: int = 50, gram: int = 16, *, id_col:
         for b in batches:
             yield b if held is None else b.filter(pa.array(in_sketch(held.value, b.column(0).to_numpy())))
 
-    some = d.mapInArrow(marked, "id long, text string, of long")
+    some = d.mapInArrow(marked, "id long, text string, of long, doc_id long")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string())
         for b in batches:
-            rows: list[tuple] = []
-            for doc, text, of, first, low in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                words = text.split()
-                f, o = np.array(first), np.array(low)
-                cut = np.flatnonzero((np.diff(f) != 1) | (np.diff(o) != 0)) + 1
-                for s, e in zip([0, *cut], [*cut, len(f)], strict=True):
-                    rows.append((int(o[s]), doc, of, int(f[s]), b" ".join(words[f[s] : f[e - 1] + window]).decode()))
-            if rows:
-                yield _batch(["owner", "id", "of", "at", "passage"], [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)])
-
-    found = materialize(some.join(marks, ["id", "of"]).select("id", "text", "of", "first", "low").mapInArrow(passages, "owner long, id long, of long, at int, passage string"), "passages")
-    asked = found.where("id > owner")
-    load = asked.groupBy("owner").agg(F.ceil(F.count("*") / TASK_PASSAGES).cast("int").alias("copies"), F.count("*").alias("n"))
-    load = materialize(load, "owners")
+            for s, e, parts in text_groups(b.column(1)):
+                rows: list[tuple] = []
+                for doc, text, of, first, low in zip(b.column(0).slice(s, e - s).to_pylist(), parts, *(b.column(k).slice(s, e - s).to_pylist() for k in (2, 3, 4)), strict=True):
+                    words = text.split()
+                    f, o = np.array(first), np.array(low)
+                    cut = np.flatnonzero((np.diff(f) != 1) | (np.diff(o) != 0)) + 1
+                    for i, j in zip([0, *cut], [*cut, len(f)], strict=True):
+                        passage = b" ".join(words[f[i] : f[j - 1] + window])
+                        rows.append((int(o[i]), doc, of, int(f[i]), hashlib.blake2b(passage, digest_size=16).digest(), passage.decode()))
+                yield _batch(["owner", "id", "of", "at", "key", "passage"], [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)])
+
+    found = materialize(some.join(marks, ["id", "of"]).select("id", "text", "of", "first", "low").mapInArrow(passages, "owner long, id long, of long, at int, key binary, passage string"), "passages")
+    # equal passages of an owner's shard are streamed once, and held once by their least document
+    known_as = found.groupBy("owner", "key", "passage").agg(F.min("id").alias("least"))
+    once = materialize(known_as, "different-passages")
+    load = materialize(once.groupBy("owner").agg(F.ceil(F.count("*") / COPY_PASSAGES).cast("int").alias("copies"), F.count("*").alias("n")), "owners")
     total = load.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // TASK_PASSAGES))
-    shard = F.pmod(F.xxhash64("owner"), F.lit(shards))
-    asked = asked.join(load, "owner").select(shard.alias("shard"), F.pmod(F.xxhash64("id", "at"), F.col("copies")).cast("int").alias("copy"), F.col("id").alias("asker"), "of", "at", F.col("passage").alias("asked"))
-    holds = found.where("id = owner").dropDuplicates(["owner", "passage"]).join(load, "owner").select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("id").alias("holder"), F.col("passage").alias("held"))
-
-    def stream(queries: pa.Table, refs: pa.Table) -> pa.Table:
+    dealt = once.join(load, "owner").withColumn("own", F.pmod(F.xxhash64("key"), F.col("copies")).cast("int"))
+    dealt = dealt.select(F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "own", "owner", "key", "passage", "least")
+
+    def stream(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("least", "ascending"), ("key", "ascending")])
+        held = [x.split() for x in texts(t.column("passage").combine_chunks())]
+        least = t.column("least").to_pylist()
+        automaton = Automaton(list(zip(least, held, strict=True)))
         out: list[tuple] = []
-        if queries.num_rows and refs.num_rows:
-            a = Automaton([(i, t.split()) for i, t in zip(refs.column("holder").to_pylist(), texts(refs.column("held").combine_chunks()), strict=True)])
-            for i, of, at, t in zip(queries.column("asker").to_pylist(), queries.column("of").to_pylist(), queries.column("at").to_pylist(), texts(queries.column("asked").combine_chunks()), strict=True):
-                out += [(i, of, at + s, at + e) for s, e in a.spans(t.split(), i, window)]
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["id", "of", "first", "end"])
-
-    spans = asked.groupBy("shard", "copy").cogroup(holds.groupBy("shard", "copy")).applyInArrow(stream, "id long, of long, first long, end long")
+        for owner, key, words, ask in zip(t.column("owner").to_pylist(), t.column("key").to_pylist(), held, np.equal(t.column("own").to_numpy(), t.column("copy").to_numpy()).tolist(), strict=True):
+            if ask:
+                out += [(owner, key, *x) for x in automaton.spans(words, window)]
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["owner", "key", "first", "end", "low"])
+
+    matched = dealt.groupBy("shard", "copy").applyInArrow(stream, "owner long, key binary, first long, end long, low long")
+    matched = materialize(matched, "matched")
+    spans = found.select("owner", "key", "id", "of", "at").join(matched, ["owner", "key"]).where("low < id")
+    spans = spans.select("id", "of", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("end")).alias("end"))
     spans = spans.groupBy("id", "of").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans")).select("id", "of", "spans.first", "spans.end")
 
     schema = "doc_id long, text string, n_words long, n_removed long, spans array<struct<first: long, end: long>>"
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
-    def kept(rows: Iterator[tuple]) -> pa.RecordBatch:
+    def kept(ids: pa.Array, rows: Iterator[tuple]) -> pa.RecordBatch:
         done = []
-        for doc, text, first, end in rows:
+        for text, first, end in rows:
             words, merged = text.split(), []
             for s, e in zip(first or (), end or (), strict=True):
                 if merged and s <= merged[-1][1]:
@@ -251,18 +258,20 @@ def dedup_passages(docs: DataFrame, window: int = 50, gram: int = 16, *, id_col:
                 stay += words[at:s]
                 at = e
             stay += words[at:]
-            done.append((None if doc == LAST else doc, b" ".join(stay).decode(), len(words), len(words) - len(stay), [{"first": s, "end": e} for s, e in merged]))
-        cols = list(zip(*done, strict=True)) or [[]] * 5
-        return _batch(["doc_id", "text", "n_words", "n_removed", "spans"], [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), kind), strict=True)])
+            done.append((b" ".join(stay).decode(), len(words), len(words) - len(stay), [{"first": s, "end": e} for s, e in merged]))
+        cols = list(zip(*done, strict=True)) or [[]] * 4
+        return _batch(["doc_id", "text", "n_words", "n_removed", "spans"], [ids, *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), kind), strict=True))])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield kept(zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+            for s, e, parts in text_groups(b.column(1)):
+                yield kept(b.column(0).slice(s, e - s), zip(parts, *(b.column(k).slice(s, e - s).to_pylist() for k in (2, 3)), strict=True))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(~in_sketch(held.value, b.column(0).to_numpy())))
-            yield kept((i, t, None, None) for i, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True))
+            for s, e, parts in text_groups(b.column(1)):
+                yield kept(b.column(2).slice(s, e - s), ((t, None, None) for t in parts))
 
-    touched = some.join(spans, ["id", "of"], "left").select("id", "text", "first", "end").mapInArrow(finish, schema)
-    return touched if held is None else touched.union(d.mapInArrow(untouched, schema))
+    touched = some.join(spans, ["id", "of"], "left").select("doc_id", "text", "first", "end").mapInArrow(finish, schema)
+    return touched if held is None else touched.union(d.select("id", "text", "doc_id").mapInArrow(untouched, schema))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_BITS, bound_batches, hash_words, in_groups, in_sketch, keep, materialize, mix64, sketch, texts
+from .common import SKETCH_BITS, hash_words, in_sketch, keep, materialize, mix64, sketch, text_groups
 
 END = np.uint64(0x5EED0E4D)
 #: Least number of occurrences of a frequent word and of a state, whatever the corpus.
@@ -203,14 +203,12 @@ def _told(ids: DataFrame) -> np.ndarray | None:
 def fit(train: DataFrame, depth: int = 2, frame_size: int = FRAME, *, text_col: str = "text") -> Tree:
     """Fit on all texts of ``train``; a null text is empty and counts one end."""
     spark = train.sparkSession
-    bound_batches(spark)
     d = train.select(F.col(text_col).alias("text"))
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
-            parts = texts(b.column(0))
-            for s, e in in_groups(parts):
-                yield tokens(parts[s:e])
+            for _, _, parts in text_groups(b.column(0)):
+                yield tokens(parts)
 
     unigrams = materialize(d.mapInArrow(lambda it: _counted(((t,) for t, _, _ in groups(it)), ["e"]), "e long, c long").groupBy("e").agg(F.sum("c").alias("c")), "unigrams")
     n, v = (int(x or 0) for x in unigrams.agg(F.sum("c"), F.count("*")).first())
@@ -332,7 +330,6 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
     Repeated rows and ids, also null ones, are scored each on their own.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     top = tree.entries.orderBy(F.desc("weight"), "key").limit(head).toArrow()
     keys, kind, value, weight = (top.column(c).to_numpy() for c in ("key", "kind", "value", "weight"))
     tail = tree.entries.select("key", "kind", "value", "weight")
@@ -358,9 +355,8 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
             return np.bincount(row, weights=value[at], minlength=m), np.bincount(row, weights=word[at], minlength=m)
 
         for b in batches:
-            parts = texts(b.column(1))
-            for s, e in in_groups(parts):
-                t, row, place = tokens(parts[s:e])
+            for s, e, parts in text_groups(b.column(1)):
+                t, row, place = tokens(parts)
                 m, rest, doubt = e - s, [], [(np.zeros(0, np.int64),) * 4]
                 base, known = look(t, row, m, rest)
                 base -= np.bincount(row, minlength=m) * floor

@@ -1,30 +1,31 @@
 """Operator 1: token ids as files: frequency-ranked, byte-aligned variable-length code, control bytes kept apart.
 
-A folder holds ``ranks.bin`` (ids by falling frequency, little-endian u32) and shards ``NNNNNNNN.tid`` that follow
-each other in ascending document id. A shard: magic, number of documents, number of tokens, the documents' ids, a
+A folder holds ``ranks.bin`` (ids by falling frequency, little-endian u32) and shards ``PPPPPP-NNNNNN.tid`` (range of
+ids, number in it) that follow each other in ascending document id. A shard: magic, number of documents, number of tokens, the documents' ids, a
 byte each that tells a null id, their lengths, then control bytes (four 2-bit lengths each) and data bytes (ranks of
 1 to 4 bytes). Frequent ids have small ranks and so take one byte. Decoding is numpy table lookup on whole arrays.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, in_groups, materialize, scratch_path, texts
+from .common import materialize, row_key, scratch_path, text_groups
 from .tokens import encoder
 
 MAGIC = b"STONEID1"
 #: Tokens that a shard should hold; a longer document still stays whole.
 SHARD_TOKENS = 4_000_000
-#: Shards get larger beyond this number.
-MOST_SHARDS = 20_000
+#: Tokens of a range of ids, on average, that a task sorts and writes; it holds one shard of them at a time.
+RANGE_TOKENS = 16_000_000
 
 _CODES = np.arange(256, dtype=np.uint8)
 _LENGTHS = np.stack([(_CODES >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1)  # of the four values behind a control byte
@@ -79,29 +80,25 @@ def _open(uri: str):
     return FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str, *, special: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise every whole text, append ``end_id`` and write the shards to ``folder`` (a URI that executors share).
 
-    Returns the shards: shard, path, n_docs, n_tokens. A null text is empty; null ids come first; repeated rows are
-    written repeatedly. An empty table writes no shard. A shard gets its name by a move after it is whole, so a
-    repeated task replaces it by the same bytes.
+    Returns the shards: part, nth, path, n_docs, n_tokens. A null text is empty; null ids come first; repeated rows are
+    written repeatedly, and rows of one id may go on from shard to shard. An empty table writes no shard. A shard gets
+    its name by a move after it is whole, so a repeated task replaces it by the same bytes. ``special``: see ``Encoder``.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, special)
+        width = enc.dtype.itemsize
         for batch in batches:
-            parts = texts(batch.column(1))
-            raws: list[bytes] = []
-            for s, e in in_groups(parts):
-                found, reach = enc.encode(parts[s:e])
-                raws += [found[a:b].tobytes() for a, b in zip(reach, reach[1:], strict=False)]
-            width = enc.dtype.itemsize
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.binary()), pa.array([len(r) // width for r in raws], pa.int64())], names=["doc_id", "ids", "n"])
-
-    width = encoder(vocabulary).dtype
-    size = max(encoder(vocabulary).vocabulary, end_id + 1)
+            for s, e, parts in text_groups(batch.column(1)):
+                found, reach = enc.encode(parts)
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), e - s, [None, pa.py_buffer((reach * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(found))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), ids, pa.array(np.diff(reach) + 1)], names=["doc_id", "ids", "n"])
+
+    width = encoder(vocabulary, special).dtype
+    size = max(encoder(vocabulary, special).vocabulary, end_id + 1)
     raw = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokenize, "doc_id long, ids binary, n long"), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,48 +121,43 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     with fs.open_output_stream(f"{root}/ranks.bin") as f:
         f.write(by_rank.astype("<u4").tobytes())
 
-    shards = min(MOST_SHARDS, max(1, math.ceil(frequency.sum() / SHARD_TOKENS)))
-    cuts: list[int] = []
-    if shards > 1:
-        cuts = sorted({*(raw.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20 * shards)).first()[0] or ())})
-    edges = np.array(cuts, np.int64)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard = np.searchsorted(edges, b.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
-            coded = []
-            for r in b.column(1).to_pylist():
-                control, data = encode_values(np.append(rank[np.frombuffer(r, width)], rank[end_id]))
-                coded.append(control + data)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), pa.array(coded, pa.binary()), pa.array(b.column(2).to_numpy() + 1)], names=["shard", "doc_id", "coded", "n"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, target = _open(folder)
+        part, nth = TaskContext.get().partitionId(), 0
+        ids, lengths, raws, held = [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            name = f"{part:06d}-{nth:06d}.tid"
+            temporary = f"{target}/.{name}-{uuid.uuid4().hex}"
+            found = np.frombuffer(b"".join(raws), width)
+            at = np.cumsum(lengths)
+            tokens = np.full(held, rank[end_id], np.uint32)  # the last of each document stays
+            own = np.ones(held, bool)
+            own[at - 1] = False
+            tokens[own] = rank[found]
+            with out.open_output_stream(temporary) as f:
+                f.write(shard_bytes(ids, lengths, tokens))
+            out.move(temporary, f"{target}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(ids)]), pa.array([held])], names=["part", "nth", "path", "n_docs", "n_tokens"])
 
-        def close(shard: int, ids: list, lengths: list, values: list) -> pa.RecordBatch:
-            name = f"{target}/{shard:08d}.tid"
-            part = f"{target}/.{shard:08d}-{np.random.default_rng().integers(2**62)}"
-            with out.open_output_stream(part) as f:
-                f.write(shard_bytes(ids, lengths, np.concatenate(values)))
-            out.move(part, name)
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([f"{folder}/{shard:08d}.tid"]), pa.array([len(ids)]), pa.array([sum(lengths)])], names=["shard", "path", "n_docs", "n_tokens"])
-
-        now, ids, lengths, values = None, [], [], []
         for b in batches:
-            for shard, doc, coded, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if shard != now and ids:
-                    yield close(now, ids, lengths, values)
-                    ids, lengths, values = [], [], []
-                now = shard
-                x = np.frombuffer(coded, np.uint8)
+            for doc, x, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if ids and held + n > SHARD_TOKENS:
+                    yield close()
+                    ids, lengths, raws, held, nth = [], [], [], 0, nth + 1
                 ids.append(doc)
                 lengths.append(n)
-                values.append(decode_values(x[: -(-n // 4)], x[-(-n // 4) :], n).astype("<u4"))
+                raws.append(x)
+                held += n
         if ids:
-            yield close(now, ids, lengths, values)
+            yield close()
 
-    dealt = raw.mapInArrow(deal, "shard long, doc_id long, coded binary, n long").repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id")
-    return materialize(dealt.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"), "token-shards")
+    ranges = max(1, -(-int(frequency.sum()) // RANGE_TOKENS))
+    # a row's place as a second key, so that rows of one id, or of none, can be dealt to several ranges
+    keyed = raw.select("doc_id", "ids", "n", row_key().alias("place"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("place")]
+    dealt = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
+    return materialize(dealt.mapInArrow(write, "part int, nth int, path string, n_docs long, n_tokens long"), "token-shards")
 
 
 def read_token_files(spark: SparkSession, shards: DataFrame, folder: str) -> DataFrame:
@@ -183,12 +175,15 @@ def read_token_files(spark: SparkSession, shards: DataFrame, folder: str) -> Dat
                 crc = [zlib.crc32(tokens[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # one row a shard, MOST_SHARDS at most
-    placed = shards.select("path", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("base"))
+    # shards before one: those of earlier ranges, one row a range, and earlier ones of its own
+    per = shards.groupBy("part").agg(F.sum("n_tokens").alias("all"))
+    per = per.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
+    own = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("nth")) - F.col("n_tokens")
+    placed = shards.withColumn("own", own).join(F.broadcast(per), "part").select("path", (F.col("before") + F.col("own")).alias("base"))
     tasks = max(1, min(shards.count(), 4 * spark.sparkContext.defaultParallelism))
     return placed.repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, *, special: bool = True) -> DataFrame:
     folder = folder or scratch_path(docs.sparkSession, "token-files")
-    return read_token_files(docs.sparkSession, write_token_files(docs, vocabulary, end_id, folder), folder)
+    return read_token_files(docs.sparkSession, write_token_files(docs, vocabulary, end_id, folder, special=special), folder)

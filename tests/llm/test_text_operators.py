@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from siltstone.llm import common, importance_resampling, jaccard_join, line_dedup, mixing, packing, quality_rules, queries, substring_dedup, suffix_tree, token_files, tokens
 
-from .conftest import words
+from .conftest import thue_morse, words
 
 LAST = 2**62
 
@@ -36,6 +37,42 @@ def test_hashing_and_sketches(spark):
     assert bounds.tolist() == [0, 3, 3, 4] and h[0] == h[2] != h[1] == h[3]
 
 
+@pytest.mark.parametrize("which", [0, 1])
+def test_hashes_tell_apart(which):
+    import random
+
+    rng = random.Random(3)
+    parts = [w.encode() for turns in range(12) for w in thue_morse(turns)] + [b"a" * k for k in range(1, 200)] + [bytes([0] * k + [1]) for k in range(0, 100)]
+    parts += [bytes(rng.choices(range(97, 101), k=rng.randrange(1, 90))) for _ in range(3000)]
+    h, _ = common.hash_words(parts, which=which)
+    known = dict(zip(parts, h.tolist(), strict=True))
+    assert len(set(known.values())) == len(known)
+    raw = np.frombuffer(b" ".join(parts), np.uint8)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = ends - [len(p) for p in parts]
+    same = common.same_spans(raw, starts[:-1], ends[:-1], starts[1:], ends[1:])
+    assert same.tolist() == [a == b for a, b in zip(parts, parts[1:], strict=False)]
+    for n in (1, 2, 3, 5, 16, 32, 50):
+        bits = np.array([rng.randrange(2) for _ in range(5000)], np.uint64)
+        for turns in (6, 8):
+            bits = np.concatenate([bits, *(np.array([c == "b" for c in w], np.uint64) for w in thue_morse(turns))])
+        runs = common.hash_runs(common.mix64(bits), n, which)
+        assert len(set(zip(runs.tolist(), (bits[k : k + n].tobytes() for k in range(len(runs))), strict=True))) == len(set(runs.tolist())) == len({bits[k : k + n].tobytes() for k in range(len(runs))})
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    assert spark.sparkContext.applicationId in common.scratch_root(spark)
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst", None)
+    assert common.materialize(spark.range(3), "t").count() == 3
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst", None) == was
+
+    class Far:
+        sparkContext = type("C", (), {"applicationId": "other", "master": "spark://far:7077", "getConf": lambda self: {}})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_root(Far())
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 200), (200, 300), (300, 100), (500, 501), (7, 7)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -46,12 +83,13 @@ def test_components(spark):
 # ---------------------------------------------------------------- 1 and 2: tokens
 
 
+@pytest.mark.parametrize("special", [True, False])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder(name, documents, odd):
+def test_encoder(name, special, documents, odd, alike):
     lib = Tokenizer.from_file(public_tokenizers.path(name))
-    lib.encode_special_tokens = True
-    enc = tokens.Encoder(public_tokenizers.path(name))
-    texts = [t or "" for _, t in documents[1] + odd[1]]
+    lib.encode_special_tokens = not special
+    enc = tokens.Encoder(public_tokenizers.path(name), special)
+    texts = [t or "" for _, t in documents[1] + odd[1] + alike[1]] + ["x <|endoftext|> y", "<|startoftext|>", "a<|EndOfText|>b"]
     for _ in range(2):  # new pieces, then known ones
         ids, reach = enc.encode([t.encode() for t in texts])
         for k, e in enumerate(lib.encode_batch(texts, add_special_tokens=False)):
@@ -65,9 +103,8 @@ def test_value_code():
         assert token_files.decode_values(np.frombuffer(c, np.uint8), np.frombuffer(d, np.uint8), len(part)).tolist() == part.tolist()
 
 
-def check_token_files(df, rows, monkeypatch=None):
+def check_token_files(df, rows):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     got = token_files.round_trip(df, public_tokenizers.path("byte_bpe_50k.json"), 2).collect()
     made = [(i, np.array([*e.ids, 2], "<u4")) for (i, _), e in zip(rows, lib.encode_batch([t or "" for _, t in rows], add_special_tokens=False), strict=True)]
     crc = Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in made)
@@ -76,20 +113,35 @@ def check_token_files(df, rows, monkeypatch=None):
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
-    ids = [-1 if r.doc_id is None else r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    ids = [-(2**70) if r.doc_id is None else r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert ids == sorted(ids)
 
 
-def test_token_files(documents, odd, empty, monkeypatch):
+def test_token_files(documents, odd, alike, empty, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_TOKENS", 20_000)
+    monkeypatch.setattr(token_files, "RANGE_TOKENS", 50_000)
     check_token_files(*documents)
     check_token_files(*odd)
+    check_token_files(*alike)
     assert token_files.round_trip(empty, public_tokenizers.path("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_token_files_split_a_hot_id(spark, tmp_path, monkeypatch):
+    """Rows without an id, or with one and the same, fill many shards of bounded size."""
+    monkeypatch.setattr(token_files, "SHARD_TOKENS", 200)
+    monkeypatch.setattr(token_files, "RANGE_TOKENS", 600)
+    rows = [(None if k % 3 else 7, "a b c d e") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = f"file://{tmp_path}/tokens"
+    shards = token_files.write_token_files(df, public_tokenizers.path("byte_bpe_50k.json"), 2, folder)
+    sizes = [r.n_tokens for r in shards.collect()]
+    assert max(sizes) <= 200 and sum(sizes) == 2400 and shards.select("part").distinct().count() > 1
+    got = token_files.read_token_files(spark, shards, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 266 + [7] * 134 and [r.start for r in got] == list(range(0, 2400, 6))
+
+
 def check_packing(df, rows):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     got = packing.pack(packing.tokenized_pieces(df, public_tokenizers.path("word_bpe_49k.json"), 1, 4096), packing.Capacity()).collect()
     want, total = Counter(), 0
     for (i, _), e in zip(rows, lib.encode_batch([t or "" for _, t in rows], add_special_tokens=False), strict=True):
@@ -110,9 +162,11 @@ def check_packing(df, rows):
     assert len(by) <= math.ceil(total / 4096) * 1.05 + 1
 
 
-def test_packing(documents, odd, empty):
+def test_packing(spark, documents, odd, alike, empty):
     check_packing(*documents)
     check_packing(*odd)
+    check_packing(*alike)
+    check_packing(spark.createDataFrame([(1, "a b c")] * 3000, "doc_id long, text string"), [(1, "a b c")] * 3000)
     assert packing.pack(packing.tokenized_pieces(empty, public_tokenizers.path("word_bpe_49k.json"), 1, 4096)).count() == 0
 
 
@@ -154,8 +208,49 @@ def base_stats(text):
     return len(w), sum(len(x.decode()) for x in w), sum(s.count(x) for x in "#*$%&|<>"), dup, len(repeated)
 
 
-def test_rules(documents, odd, empty):
-    for df, rows in (documents, odd):
+def verdict(text, rules):
+    """The rules once more, each on its own, without a cascade."""
+    w = words(text)
+    n, chars, symbols, dup, repeat = base_stats(text)
+    if n < 50 or 100 * repeat > 50 * n:
+        return False
+    s, raw = text, text.encode()
+    lines = [x.strip(b" \t\n\x0b\f\r") for x in raw.split(b"\n") if words(x.decode())]
+    latin = [c for c in s if ord(c) < 0x250 and c.isalpha()]
+    pairs = Counter(zip(w, w[1:], strict=False)).most_common(1)[0]
+    paragraphs = [x for x in (y.strip(b" \t\n\x0b\f\r") for y in raw.split(b"\n\n")) if x]
+    bullets = tuple(x.encode() for x in ("•", "‣", "▪", "●", "- ", "* "))
+    abuse = sum(len(re.findall(rf"(?<![a-z]){x}(?![a-z])", s, re.IGNORECASE | re.ASCII)) for x in quality_rules.ABUSE)
+    bad = [
+        10 * symbols > n, not 2.5 <= chars / n <= 12, dup >= 3 and 2 * dup > s.count("\n") + 1, 2 * s.count("!") > n,
+        len(lines) >= 3 and sum(x.startswith(bullets) for x in lines) > 0.9 * len(lines),
+        len(lines) >= 3 and sum(x.endswith((b"...", "…".encode())) for x in lines) > 0.3 * len(lines),
+        len(latin) >= 20 and sum(c.isupper() for c in latin) > 0.4 * len(latin),
+        5 * sum(not any(c.isalpha() or ord(c) > 127 for c in x.decode()) for x in w) > n,
+        n >= 100 and 10 * len(set(w)) < n, 5 * pairs[1] * sum(map(len, pairs[0])) > sum(map(len, w)),
+        2 * sum(c in "0123456789" for c in s) > chars, abuse > 0 and abuse * 500 >= n,
+        len(paragraphs) >= 4 and 10 * (len(paragraphs) - len(set(paragraphs))) > 3 * len(paragraphs),
+    ]
+    return not any(bad)
+
+
+def test_every_rule(spark):
+    import random
+
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"wort{rng.randrange(4000)}en" for _ in range(n))
+    texts = [prose(90), prose(60) + " #" * 20, prose(70) + " a" * 190, "\n".join([prose(60), *["same line here"] * 8]), prose(60) + "!" * 60, "\n".join("- " + prose(20) for _ in range(5)), "\n".join(prose(20) + "..." for _ in range(5)), prose(80).upper(), prose(60) + " 12 / 34 -- 99 ++ 7 8 9 1 2 3 4 5", " ".join(f"{x}{y}" for x in "abcd" for y in "efgh") * 30, prose(70) + " x".join(f" {k}" for k in range(99999000, 99999070)), prose(80) + " you Idiot", "\n\n".join([prose(30), *["the very same paragraph"] * 3, prose(30)]), prose(60) + " lorem ipsum,".join(str(k) for k in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(df).collect()}
+    assert {i for i, r in got.items() if r.kept} == {i for i, t in enumerate(texts) if verdict(t, None)} and got[0].kept
+    assert {r.rejected_by for r in got.values()} >= {"symbols", "duplicate_lines", "exclamations", "bullets", "ellipses", "shouting", "words_without_letters", "abuse", None}
+
+
+def test_rules(documents, odd, alike, empty):
+    for df, rows in (documents, odd, alike):
+        kept = Counter((r.doc_id, r.kept) for r in quality_rules.apply_rules(df).collect())
+        assert kept == Counter((i, verdict(t, None)) for i, t in rows)
+    for df, rows in (documents, odd, alike):
         got = quality_rules.apply_rules(df, sample=50).collect()
         found = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got)
         assert found == Counter((i, *base_stats(t)) for i, t in rows)
@@ -190,8 +285,9 @@ def test_rules_find_abuse_in_every_language(spark):
     for lang in ("en", "fr", "de", "es"):
         assert max((x for (g, _, t), x in rate.items() if g == lang and t == 1), default=0) <= 0.1, lang
         assert rate[lang, 1, 0] >= 0.97, lang
-    terms = [("idiot", 0.0)]
-    assert quality_rules.learnt_rule(terms).rejects(quality_rules.Text(b"what Idiots they are", None))
+    rule = quality_rules.learnt_rule([("idiot", 0.0), ("böse", 0.4)])
+    text = lambda t: quality_rules.Text(t.encode(), None)
+    assert rule.rejects(text("what Idiots they are")) and rule.rejects(text("x BÖSEwicht")) and not rule.rejects(text("anidiot böse b c"))
 
 
 # ---------------------------------------------------------------- 4: resampling
@@ -213,6 +309,45 @@ def test_resampling(spark, odd, empty):
     nulls = spark.createDataFrame([(None, 1), (1, None), (4, 1), (4, 0)], "doc_id long, quality int")
     assert importance_resampling.resample(odd[0], nulls).count() == len(odd[1])
     assert importance_resampling.resample(empty, labels).count() == 0
+    kept, out = (got.where(c).agg(F.min("log_weight"), F.max("log_weight")).first() for c in ("kept", "not kept and log_weight is not null"))
+    assert kept[0] < out[1]  # the draw decides between documents of like weights
+
+
+def test_resampling_by_brute_force(spark, documents, alike):
+    rows = documents[1] + [(10**6 + k, t) for k, (_, t) in enumerate(alike[1])] + [(None, "a b"), (-1, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 3) for k, (i, _) in enumerate(documents[1])] + [(-1, 1)], "doc_id long, quality int")
+    got = importance_resampling.resample(df, labels, seed=5, k=80).collect()
+    good = sorted([i for k, (i, _) in enumerate(documents[1]) if k % 3 == 1] + [-1])
+    fit = set(np.array(good)[np.random.default_rng(5).random(len(good)) < 0.5].tolist())
+    raw, target = np.zeros(1 << 16), np.zeros(1 << 16)
+    found = []
+    for i, t in rows:
+        h, _ = common.hash_words([t.encode()])
+        g = [int(x) >> 48 for x in h] + [int(x) >> 48 for x in (common.hash_runs(h, 2) if len(h) > 1 else [])]
+        found.append(g)
+        for x in g:
+            raw[x] += 1
+            target[x] += i in fit
+    extra = target.sum() / raw.sum()
+    ratio = np.log((target + extra) / (target.sum() + extra * 65536) * (raw.sum() + 65536) / (raw + 1))
+    weight = Counter((i, round(sum(ratio[x] for x in g) * min(1, 64 / len(g)), 6)) for (i, _), g in zip(rows, found, strict=True))
+    assert Counter((r.doc_id, round(r.log_weight, 6)) for r in got) == weight
+    keys = sorted((-r.key, r.doc_id is None, r.doc_id) for r in got)
+    assert sorted((-r.key, r.doc_id is None, r.doc_id) for r in got if r.kept) == keys[:80]
+
+
+def test_the_draw_follows_the_weights(spark):
+    """Over many seeds a document is drawn as often as drawing one after the other by weight says."""
+    rows = [(k, "x " * (k % 4 + 1)) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(3, 1), (7, 1)], "doc_id long, quality int")
+    times, weight = Counter(), {}
+    for seed in range(30):
+        for r in importance_resampling.resample(df, labels, seed=seed, k=4).collect():
+            times[r.doc_id % 4] += r.kept
+            weight[r.doc_id % 4] = r.log_weight
+    assert sum(times.values()) == 120 and min(times.values()) > 0
 
 
 def test_kth_key_narrows_down(spark):
@@ -243,8 +378,8 @@ def passages_by_brute_force(rows, window):
 
 
 @pytest.mark.parametrize(("window", "gram", "keys"), [(50, 16, None), (50, 16, 0), (6, 3, None), (3, 16, 0)])
-def test_passages(documents, odd, window, gram, keys):
-    for df, rows in (documents, odd):
+def test_passages(documents, odd, alike, window, gram, keys):
+    for df, rows in (documents, odd, alike):
         got = substring_dedup.dedup_passages(df, window, gram, sketch_keys=keys).collect()
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == passages_by_brute_force(rows, window)
         for r in got:
@@ -253,12 +388,31 @@ def test_passages(documents, odd, window, gram, keys):
 
 def test_passages_copies_of_a_shard(documents, empty, monkeypatch):
     monkeypatch.setattr(substring_dedup, "TASK_PASSAGES", 2)
+    monkeypatch.setattr(substring_dedup, "COPY_PASSAGES", 3)
     df, rows = documents
     got = substring_dedup.dedup_passages(df, 10, 4).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == passages_by_brute_force(rows, 10)
     assert substring_dedup.dedup_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_passages_when_hashes_collide(alike, documents, monkeypatch, bits):
+    """With hashes of hardly any bits strangers meet everywhere; the automaton still removes what repeats and no more."""
+    weak = lambda h: h >> np.uint64(64 - bits) if bits else h * np.uint64(0)
+    run, words_of = common.hash_runs, common.hash_words
+    monkeypatch.setattr(substring_dedup, "hash_runs", lambda h, n: weak(run(h, n)) << np.uint64(40))
+    for df, rows in (alike, documents):
+        got = substring_dedup.dedup_passages(df, 12, 4).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == passages_by_brute_force(rows, 12)
+
+
+def test_the_automaton_finds_the_least_document():
+    rows = [(5, b"x a b c y"), (3, b"q a b c"), (9, b"a b c d"), (9, b"c d a b c")]
+    a = substring_dedup.Automaton([(i, t.split()) for i, t in rows])
+    assert a.spans(b"z a b c d e".split(), 3) == [[1, 4, 3], [2, 5, 9]]
+    assert a.spans(b"a b q".split(), 3) == [] and a.spans(b"a b c".split(), 2) == [[0, 3, 3]]
+
+
 # ---------------------------------------------------------------- 6: lines
 
 
@@ -276,8 +430,8 @@ def lines_by_brute_force(rows, least):
     return out
 
 
-def test_lines(documents, odd, empty):
-    for df, rows in (documents, odd):
+def test_lines(documents, odd, alike, empty):
+    for df, rows in (documents, odd, alike):
         for least in (10, 1):
             got = line_dedup.dedup_lines(df, least).select(F.col("row.doc_id").alias("i"), "n_lines", "n_dropped", F.sha2("row.text", 256)).collect()
             assert Counter(map(tuple, got)) == lines_by_brute_force(rows, least)
@@ -293,7 +447,7 @@ def test_lines_stay_native(documents):
 # ---------------------------------------------------------------- 7: suffix tree
 
 
-def test_suffix_tree(spark, documents, odd, empty):
+def test_suffix_tree(spark, documents, odd, alike, empty):
     df, rows = documents
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     tree = suffix_tree.fit(df.where(~held_out))
@@ -303,7 +457,7 @@ def test_suffix_tree(spark, documents, odd, empty):
             c.update([*words(t, True), None])
     n, v = sum(c.values()), len(c)
     assert (tree.n, tree.v) == (n, v)
-    for frame, all_rows in (documents, odd):
+    for frame, all_rows in (documents, odd, alike):
         got = suffix_tree.score(frame, tree).collect()
         want = Counter()
         for i, t in all_rows:
@@ -419,8 +573,8 @@ def components_by_brute_force(rows, k, percent):
 
 
 @pytest.mark.parametrize(("k", "percent", "keys"), [(4, 85, None), (5, 80, 0), (2, 40, None)])
-def test_jaccard(documents, odd, k, percent, keys):
-    for df, rows in (documents, odd):
+def test_jaccard(documents, odd, alike, k, percent, keys):
+    for df, rows in (documents, odd, alike):
         got = jaccard_join.jaccard_components(df, k, percent, sketch_keys=keys).collect()
         assert Counter(map(tuple, got)) == components_by_brute_force(rows, k, percent)
 
@@ -491,6 +645,50 @@ def test_mix(spark, documents, odd, empty):
     assert mixing.mix(mixing.sized(empty)).count() == 0
 
 
+def taken_by_brute_force(rows, target, limit=3):
+    """Copies of each document of one source: (id, size, u) in rows; weights and order as documented."""
+    weight = {i: 2.0 ** (round(8 * math.log2(math.sqrt(max(n, 1)))) / 8) for i, n, _ in rows}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the factor by bisection
+        f = (low + high) / 2
+        low, high = (f, high) if sum(min(limit, f * weight[i]) * n for i, n, _ in rows) < target else (low, f)
+    copies = {i: min(limit, high * weight[i]) for i, _, _ in rows}
+    sure = {i: math.floor(c + 1e-6) for i, c in copies.items()}
+    part = {i: max(0.0, copies[i] - sure[i]) for i in copies}
+    left = target - sum(sure[i] * n for i, n, _ in rows)
+    for i, n, u in sorted((r for r in rows if part[r[0]] > 0), key=lambda r: r[2] / (1 - r[2]) / (part[r[0]] / (1 - part[r[0]]))):
+        if n <= left:
+            sure[i], left = sure[i] + 1, left - n
+        else:
+            sure[i] += n - left < left
+            break
+    return sure
+
+
+def test_mix_takes_a_prefix_of_the_order(spark):
+    rows = [(2**53 + 2 * k + 1, f"s{k % 2}", " ".join(["w"] * (k * 7919 % 90 + 1))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized = mixing.sized(df)
+    u = {r.doc_id: r.u for r in sized.select("doc_id", common.uniform(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "size", "key", F.lit(1).cast("long"), seed=17).alias("u")).collect()}
+    for limit in (3.0, 1.0):
+        got = {r.doc_id: r for r in mixing.mix(sized, weights=(1, 5), limit=limit).collect()}
+        for s in ("s0", "s1"):
+            mine = [(i, len(words(t)), u[i]) for i, x, t in rows if x == s]
+            want = taken_by_brute_force(mine, got[mine[0][0]].target, limit)
+            assert {i: got[i].copies for i, _, _ in mine} == want
+    odds = {r.doc_id: r.copies for r in mixing.mix(sized, weights=(1, 5)).collect()}
+    long, short = ([odds[i] for i, _, t in rows if (len(words(t)) > 60) == x] for x in (True, False))
+    assert sum(long) / len(long) > 1.2 * sum(short) / len(short)
+
+
+def test_mix_keeps_ids(spark):
+    """Ids beyond 2**53 beside null ones, and many equal rows."""
+    rows = [(None if k % 5 == 0 else 2**53 + k, "s", "a b c d"[: 1 + 2 * (k % 4)]) for k in range(60)] + [(7, "s", "x y")] * 500
+    got = mixing.mix(mixing.sized(spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("source", F.when(F.col("doc_id") > 7, "t").otherwise(F.col("source"))))).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
+    assert len({r.copies for r in got if r.doc_id == 7}) > 1
+
+
 def test_mix_cut_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CUT_DOCS", 16)
     rows = [(k, f"s{k % 4 % 3}", " ".join(["w"] * (k * 7919 % 90 + 1))) for k in range(1200)]
