@@ -23,7 +23,7 @@ CUT_DOCS = 512
 MOST_BUCKETS = 1 << 16
 #: Weights are rounded to this many steps for each power of two, so that a source has few different ones.
 STEPS = 8
-#: Share of a target by which its source may miss it before a document across the cut is passed over for the next.
+#: Share of a target by which its source may miss it before documents near the cut are passed over or exchanged.
 NEAR = 0.005
 
 
@@ -61,6 +61,20 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: flo
     return per.select("source", "source_size", "n", F.coalesce(F.least(F.col("common") * F.col("weight"), F.col("most")), F.lit(0.0)).alias("target"))
 
 
+def exchange(size: np.ndarray, copies: np.ndarray, left: float, limit: float) -> tuple[int, int | None] | None:
+    """The document to take once more, and perhaps one to take once less, so that ``left`` comes nearest to 0; None if
+    no such change makes it smaller by a tenth."""
+    out, best = None, 0.9 * abs(left)
+    given = np.flatnonzero(copies > 0)
+    given = given[np.argsort(size[given], kind="stable")]
+    for i in np.flatnonzero(copies + 1 <= limit).tolist():
+        at = int(np.searchsorted(size[given], size[i] - left))
+        for back in (None, *(int(given[k]) for k in (at - 1, at) if 0 <= k < len(given))):
+            if (miss := abs(left - size[i] + (0 if back is None else size[back]))) < best:
+                out, best = (i, back), miss
+    return out
+
+
 def _same(a: str, b: str) -> F.Column:
     return F.col(a).eqNullSafe(F.col(b))
 
@@ -87,7 +101,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float =
     in proportion to which expected copies within a source differ (to the nearest of STEPS steps a power of two; by
     default the square root of the size). A document is taken 0 to ``limit`` (a whole number) times; ``taken`` = copies
     * size. What is taken is a prefix of the order that comes as near to the target as can be; only where it misses by
-    more than NEAR of the target, for a very long document at the cut, that one is passed over, or taken at the end. Documents without
+    more than NEAR of the target, for very long documents at the cut of a small source, are some passed over or exchanged. Documents without
     words are taken with the least odds and add nothing. Reruns agree: the random number of a document follows from its
     id, size, key and the seed; repeated rows are numbered. Ids pass through unchanged, null ones too. A null source is
     a source of its own.
@@ -123,21 +137,21 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float =
 
     def fill(t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in ("rank", "doc_id", "size", "key", "nth")])
-        size, left, take = t.column("size").to_numpy(), t.column("gap")[0].as_py(), np.zeros(t.num_rows, np.int64)
+        size, left = t.column("size").to_numpy(), t.column("gap")[0].as_py()
         near = NEAR * t.column("target")[0].as_py()
-        over: list[int] = []
+        copies = t.column("certain").to_numpy().copy()
         for i, n in enumerate(size.tolist()):
             if n <= left:
-                take[i], left = 1, left - n
+                copies[i], left = copies[i] + 1, left - n
             elif min(left, n - left) <= near:
-                take[i], left = n - left < left, 0
+                if n - left < left:
+                    copies[i], left = copies[i] + 1, left - n
                 break
-            else:
-                over.append(i)
-        miss, i = min(((abs(int(size[i]) - left), i) for i in over), default=(left, -1))
-        if miss < left:
-            take[i] = 1
-        return t.select(out[:-1]).append_column("copies", pa.array(t.column("certain").to_numpy() + take))
+        while abs(left) > near and (change := exchange(size, copies, left, limit)):
+            for i, more in zip(change, (1, -1), strict=True):
+                if i is not None:
+                    copies[i], left = copies[i] + more, left - more * size[i]
+        return t.select(out[:-1]).append_column("copies", pa.array(copies))
 
     edge = d.where("bucket = cut").select("doc_id", "source", "size", "source_size", "target", "certain", "rank", "gap", "key", "nth")
     filled = edge.groupBy("source").applyInArrow(fill, "doc_id long, source string, size long, source_size long, target double, copies long")
