@@ -52,7 +52,7 @@ def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_dedup.dedup_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+    return vector_dedup.dedup_vectors(table(spark, sf_dir, "embeddings"), least=0.98).drop("recall")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
