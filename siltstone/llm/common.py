@@ -87,6 +87,19 @@ def about(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
     return df if n <= most else df.where(uniform(key, seed=seed) < most / n)
 
 
+def most_used(df: DataFrame, weight: str, limit: int) -> Column:
+    """A condition that up to ``limit`` rows meet, those of the greatest weights (a positive number): the cut is found
+    by a histogram, so that no task gathers the rows of all others."""
+    step = F.floor(F.log2(F.col(weight).cast("double")) * 64).cast("int")
+    found, cut = 0, None
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), reverse=True):  # 64 rows for each power of two
+        found += r["count"]
+        if found > limit:
+            break
+        cut = r["step"]
+    return F.lit(False) if cut is None else step >= cut
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only. ``lower`` does the same on pure ASCII and is far cheaper than ``translate``."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

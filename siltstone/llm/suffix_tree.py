@@ -8,7 +8,8 @@ prior; so every state is a distribution.
 
 With P(w|s) = P(w|parent) * b(s, class) * d(s, w), d = 1 where the state doesn't hold w, the log probability of a text
 is a sum of table entries: log P0(w), log b(s, class) and log d(s, w) over the states along the suffix. Words, states
-and d all grow with the corpus. The most used words and states of each level (a fixed number, the frame) have small
+and d all grow with the corpus. Words are told by 64-bit hashes that no pattern of letters makes agree: of V different
+words any two agree with odds of V^2 / 2^65. The most used words and states of each level (a fixed number, the frame) have small
 numbers and go to every executor; the others are named by hashes, told by a sketch or joined. The same holds for the
 entries: the most used are sent, the rest is joined. What is sent changes costs, not the model.
 """
@@ -23,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_BITS, hash_words, in_sketch, keep, materialize, mix64, sketch, text_groups
+from .common import SKETCH_BITS, hash_words, in_sketch, keep, materialize, mix64, most_used, sketch, text_groups
 
 END = np.uint64(0x5EED0E4D)
 #: Least number of occurrences of a frequent word and of a state, whatever the corpus.
 FREQUENT = 32
 #: Counts and gain (nats) that keep a word in a state; gain that keeps a state, and what each of its words costs.
 WORD_COUNT, WORD_GAIN, STATE_GAIN, WORD_COST = 4, 10.0, 20.0, 5.0
+#: Words of the longest contexts.
+DEPTH = 3
 #: Weight of the parent as a prior.
 PRIOR = 20.0
 #: Entries sent to every executor (16 bytes each), and words, or states of a level.
@@ -200,7 +203,7 @@ def _told(ids: DataFrame) -> np.ndarray | None:
     return sketch(ids, bits=TAIL_BITS if ids.count() > SKETCH_BITS // 16 else SKETCH_BITS)
 
 
-def fit(train: DataFrame, depth: int = 2, frame_size: int = FRAME, *, text_col: str = "text") -> Tree:
+def fit(train: DataFrame, depth: int = DEPTH, frame_size: int = FRAME, *, text_col: str = "text") -> Tree:
     """Fit on all texts of ``train``; a null text is empty and counts one end."""
     spark = train.sparkSession
     d = train.select(F.col(text_col).alias("text"))
@@ -215,7 +218,7 @@ def fit(train: DataFrame, depth: int = 2, frame_size: int = FRAME, *, text_col:
     z = n + v + 1
     often = unigrams.where(F.col("c") >= FREQUENT)
     n_often, p_often = often.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = (often if n_often <= frame_size else often.orderBy(F.desc("c"), "e").limit(frame_size)).toArrow()
+    top = (often if n_often <= frame_size else often.where(most_used(often, "c", frame_size))).toArrow()
     words, counts = top.column("e").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(words)
     words, counts = words[order], counts[order]
@@ -312,7 +315,7 @@ def fit(train: DataFrame, depth: int = 2, frame_size: int = FRAME, *, text_col:
 
             more = materialize(more.mapInArrow(grown, "h long, n long, par long"), "longer")
             n_states = more.count()
-            top = (more if n_states <= frame_size else more.orderBy(F.desc("n"), "h").limit(frame_size)).select("h").toArrow().column("h").to_numpy()
+            top = (more if n_states <= frame_size else more.where(most_used(more, "n", frame_size))).select("h").toArrow().column("h").to_numpy()
             n_framed = len(top)
             frame.longer.append(top.view(np.uint64))
             named = spark.createDataFrame(pa.table({"h": pa.array(top), "at": pa.array(np.arange(n_framed))}))
@@ -330,12 +333,10 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
     Repeated rows and ids, also null ones, are scored each on their own.
     """
     spark = docs.sparkSession
-    top = tree.entries.orderBy(F.desc("weight"), "key").limit(head).toArrow()
-    keys, kind, value, weight = (top.column(c).to_numpy() for c in ("key", "kind", "value", "weight"))
-    tail = tree.entries.select("key", "kind", "value", "weight")
-    if len(keys):
-        at = np.lexsort((keys, -weight))[-1]
-        tail = tail.where((F.col("weight") < int(weight[at])) | (F.col("weight") == int(weight[at])) & (F.col("key") > int(keys[at])))
+    used = most_used(tree.entries, "weight", head)
+    top = tree.entries.where(used).toArrow()
+    keys, kind, value = (top.column(c).to_numpy() for c in ("key", "kind", "value"))
+    tail = tree.entries.where(~used).select("key", "kind", "value")
     bits = _told(tail.select("key"))
     sent = spark.sparkContext.broadcast((keys.view(np.uint64), kind, value, bits, tree.frame, tree.shares))
     floor, depth = float(np.log10(tree.n + tree.v + 1)), tree.depth
@@ -393,7 +394,7 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     part = materialize(d.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, rest array<long>, doubt array<struct<w:long,f:long,r:long>>"), "scores")
-    rest = part.select("rid", F.explode("rest").alias("key")).join(tail.drop("weight"), "key").select("rid", "kind", "value")
+    rest = part.select("rid", F.explode("rest").alias("key")).join(tail, "key").select("rid", "kind", "value")
     if tree.frame.others[0] is not False:
         doubt = part.select("rid", F.inline("doubt")).join(tree.others.select("w", F.lit(True).alias("is")), "w", "left")
         doubt = doubt.select("rid", F.when(F.col("is"), F.col("f")).otherwise(F.col("r")).alias("key"))

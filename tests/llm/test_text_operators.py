@@ -473,7 +473,14 @@ def test_suffix_tree(spark, documents, odd, alike, empty):
     assert (none.n, none.v) == (0, 0) and suffix_tree.score(df, none).agg(F.max("score")).first()[0] == 0
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_most_used(spark):
+    df = spark.range(1, 1001).select("id")
+    for limit in (0, 1, 10, 333, 1000, 5000):
+        got = [r.id for r in df.where(common.most_used(df, "id", limit)).collect()]
+        assert len(got) <= limit and sorted(got) == list(range(1001 - len(got), 1001)) and len(got) >= min(0.95 * limit - 12, 1000)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
 def test_suffix_tree_is_a_distribution(spark, depth):
     """After any words, the probabilities of all words known, one for all others taken together, and the end sum to 1."""
     import random
@@ -524,7 +531,7 @@ def test_suffix_tree_outside_the_frame(spark, monkeypatch, told):
     if not told:
         monkeypatch.setattr(suffix_tree, "_told", lambda ids: None)
     tree = suffix_tree.fit(train, 3, frame_size=2)
-    assert len(tree.frame.words) == 2 and all(len(x[0]) <= 2 for x in tree.shares)
+    assert len(tree.frame.words) <= 2 and all(len(x[0]) <= 2 for x in tree.shares)
     for head in (suffix_tree.HEAD, 5):
         for r in suffix_tree.score(train, tree, head).collect():
             assert r.score == pytest.approx(whole[r.doc_id].score, abs=1e-6) and r.n_known == whole[r.doc_id].n_known
@@ -579,6 +586,22 @@ def test_jaccard(documents, odd, alike, k, percent, keys):
         assert Counter(map(tuple, got)) == components_by_brute_force(rows, k, percent)
 
 
+def test_overlaps():
+    import random
+
+    rng = random.Random(4)
+    other = {rng.randrange(2**64) for _ in range(200)}
+    rows = []
+    for k in range(60):
+        mine = set(rng.sample(sorted(other), rng.randrange(100, 201))) | {rng.randrange(2**64) for _ in range(rng.randrange(60))}
+        rows.append(mine)
+    rows += [set(other), {1}, set(list(other)[:1])]
+    array = lambda s: np.array(sorted(s), np.uint64)
+    for percent in (1, 50, 80, 85, 100):
+        got = jaccard_join.overlaps([array(r) for r in rows], array(other), percent)
+        assert got.tolist() == [100 * len(r & other) >= percent * len(r | other) for r in rows]
+
+
 def test_jaccard_near_copies(spark, empty):
     """A large group of near copies that aren't all alike, chains included."""
     import random
