@@ -19,10 +19,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, SPACE, about, hash_runs, hash_spans, same_spans, text_groups, uniform, word_spans
+from .common import _IS_SPACE, SPACE, about, hash_runs, hash_spans, materialize, same_spans, text_groups, uniform, word_spans
 
 #: Documents, on average, on which costs and rejections are measured; only the order of rules follows from them.
 SAMPLE, REPEATS, COST_STEP = 1000, 3, 8
@@ -125,8 +125,9 @@ RULES = (
 
 
 #: For learning terms of abuse: labelled documents of a kind (toxic, others) on average, prefix lengths, least shares of
-#: a text's words that start with a term, terms of a language, what a false alarm costs, least gain.
-LEARN_ROWS, PREFIXES, SHARES, TERMS, FALSE_ALARM, LEARN_GAIN = 3000, (4, 5, 6, 8), (0.0, 0.005, 0.01, 0.02), 20, 10, 0.02
+#: a text's words that start with a term, terms of a language, what a false alarm costs, least gain, and prefixes of a
+#: language from which its terms are chosen.
+LEARN_ROWS, PREFIXES, SHARES, TERMS, FALSE_ALARM, LEARN_GAIN, CANDIDATES = 3000, (4, 5, 6, 8), (0.0, 0.005, 0.01, 0.02), 20, 10, 0.02, 200
 _to_blank = dict.fromkeys(map(ord, SPACE), " ")
 
 
@@ -156,9 +157,25 @@ def learn_abuse(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
                 cols = [*(b.column(k).slice(s, e - s) for k in (0, 1, 3)), pa.array([n for n, _ in found], pa.int64()), pa.array([list(c) for _, c in found], pa.list_(pa.string())), pa.array([list(c.values()) for _, c in found], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "toxic", "lang", "n", "starts", "counts"])
 
+    schema = "id long, toxic int, lang string, n long, starts array<string>, counts array<long>"
     some = d.join(F.broadcast(picked[0].union(picked[1])), "id").select(F.col("id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"), "text", "lang")
-    some = some.mapInArrow(read, "id long, toxic int, lang string, n long, starts array<string>, counts array<long>")
-    rows = sorted(((r.id % 2, r.toxic == 1, r.lang, r.n, Counter(dict(zip(r.starts, r.counts, strict=True)))) for r in some.collect()), key=lambda x: (x[2], x[1], x[3], sorted(x[4].items())[:3]))
+    some = materialize(some.mapInArrow(read, schema), "starts-of-words")
+    # of each language the prefixes by which its toxic documents differ most; only they are looked at on the driver
+    is_bad = F.col("toxic") == 1
+    size = some.groupBy("lang").agg(F.count(F.when(is_bad, 1)).alias("bad"), F.count(F.when(~is_bad, 1)).alias("clean"))
+    often = some.select("lang", "toxic", F.explode("starts").alias("p")).groupBy("lang", "p").agg(F.count(F.when(is_bad, 1)).alias("often"), F.count(F.when(~is_bad, 1)).alias("usual"))
+    often = often.join(size, "lang").where(F.col("often") >= F.greatest(F.lit(2), LEARN_GAIN * F.col("bad")))
+    rank = F.desc(F.col("often") / F.col("bad") - F.col("usual") / F.greatest(F.col("clean"), F.lit(1)))
+    best = often.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(rank, "p"))).where(F.col("k") <= CANDIDATES)
+    wanted = {r.p for r in best.select("p").distinct().collect()}  # CANDIDATES for each language at most
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [[(p, c) for p, c in zip(x, y, strict=True) if p in wanted] for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            lists = (pa.array([[x[k] for x in row] for row in pairs], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int64())))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), *lists], names=["id", "toxic", "lang", "n", "starts", "counts"])
+
+    rows = [(r.id % 2, r.toxic == 1, r.lang, r.n, Counter(dict(zip(r.starts, r.counts, strict=True)))) for r in some.mapInArrow(thin, schema).orderBy("id", "n").collect()]
     terms: list[tuple[str, float]] = []
     clean = [[x for x in rows if not x[1] and x[0] == half] for half in (0, 1)]
     for lang in sorted({x[2] for x in rows if x[1]}):
