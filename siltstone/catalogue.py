@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import bloom, zonemap
+from siltstone.plans.ast import Feature
 from siltstone.plans.parser import parse_filter, parse_query
 from siltstone.plans.query import run
 from siltstone.sources import example, footer, layout, scan, scratch
@@ -85,8 +86,20 @@ def selectivity_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return footer.thresholds(zonemap.zone_map(_table(spark, sf_dir, "orders"), _zone("o_orderkey", 550).alias("zone"), ["o_orderkey"]))
 
 
+def _in_groups(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table again, in row groups of 550 rows."""
+    path = scratch.path(spark, "groups")
+    layout.write_groups(_table(spark, sf_dir, name).coalesce(1), path)
+    return spark.read.parquet(path)
+
+
 def group_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(_table(spark, sf_dir, "orders"), parse_query("o_orderkey > 14000"), "group").rows
+    return run(_in_groups(spark, sf_dir, "orders"), parse_query("o_orderkey > 14000"), "group").rows
+
+
+def group_mode_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups whose least price is low, or whose highest date is late; NaN aside, as footers tell."""
+    return run(_in_groups(spark, sf_dir, "orders"), parse_query("o_totalprice < 1100.0 OR o_orderkey >= 14800"), "group").rows
 
 
 def row_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +107,46 @@ def row_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bloom_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: which other zones stay depends on the hash."""
-    return bloom.prune_equal(_table(spark, sf_dir, "orders"), parse_filter("o_custkey == 7"), _zone("o_orderkey", 550), 550)
+    """The blocks that may hold a value, and of these the rows that do: the same as without the filter."""
+    return bloom.prune_equal(_table(spark, sf_dir, "orders"), parse_filter("o_custkey == 7"), _zone("o_orderkey", 550), 550).where("o_custkey = 7")
+
+
+def bloom_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real row groups that may hold a value, then its rows."""
+    return run(_in_groups(spark, sf_dir, "orders"), parse_query("o_custkey == 7"), [Feature.GROUP, Feature.BLOOM]).rows.where("o_custkey = 7")
+
+
+def filter_unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On columns that were written unsigned, beyond the signed types' range."""
+    path = scratch.path(spark, "unsigned")
+    wide = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") + F.lit(2**31)).alias("u32"), (F.col("o_orderkey").cast("decimal(20,0)") + F.lit(2**63 - 5000).cast("decimal(20,0)")).cast("decimal(20,0)").alias("u64"))
+    wide.write.parquet(path)
+    return run(spark.read.parquet(path), parse_query("u64 > 9223372036854775807 AND u32 > 2147490000", "o_orderkey,u32"), "column").rows
+
+
+def agg_unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = _table(spark, sf_dir, "orders").select((F.col("o_orderkey").cast("decimal(20,0)") + F.lit(2**63 - 5000).cast("decimal(20,0)")).cast("decimal(20,0)").alias("u64"))
+    out = run(wide, parse_query("", "", "MIN(u64),MAX(u64),COUNT(u64)"), "aggr").aggregates
+    return out.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in out.columns])
+
+
+def _with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices, NaN for every seventh order and none for every eleventh."""
+    v = F.when(F.col("o_orderkey") % 11 == 0, None).when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"))
+
+
+def filter_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(_with_nan(spark, sf_dir), parse_query("NOT v > 100000.0", "o_orderkey"), "column").rows
+
+
+def agg_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(_with_nan(spark, sf_dir), parse_query("", "", "MIN(v),MAX(v),COUNT(v)"), "aggr").aggregates
+
+
+def zone_prune_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zone that holds NaN stays under a negated comparison."""
+    return zonemap.prune(_with_nan(spark, sf_dir), parse_filter("NOT v > 2000.0"), _zone("o_orderkey", 4)).select("o_orderkey")
 
 
 def per_file_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +154,14 @@ def per_file_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+def footer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What footers tell of row groups of 550 rows."""
+    path = scratch.path(spark, "groups")
+    layout.write_groups(_table(spark, sf_dir, "orders").coalesce(1), path)
+    stats = footer.statistics(spark, path, "o_orderkey")
+    return stats.select(F.col("row_group").cast("long").alias("row_group"), "rows", F.col("min_0").alias("low"), F.col("max_0").alias("high"))
+
+
 def layout_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table again, from files with 550 rows in a row group."""
     out = scratch.path(spark, "rewrite")
@@ -114,12 +173,15 @@ def layout_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table again, from its compaction out of 20 files into at most 16."""
     many, few = scratch.path(spark, "many"), scratch.path(spark, "few")
     _table(spark, sf_dir, "orders").repartition(20).write.parquet(many)
-    return spark.read.parquet(*layout.compact(spark, many, few))
+    return spark.read.parquet(*layout.compact(spark, many, few).outputs)
 
 
 def footer_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: sizes of footers depend on the writer."""
-    return footer.metadata_ratio(spark, f"{sf_dir}/orders.parquet").drop("path")
+    """Whether footers are a small part of the files, and what they count; their exact sizes depend on the writer."""
+    path = f"{sf_dir}/orders.parquet"
+    out = footer.metadata_ratio(spark, path).agg(F.max("ratio").alias("ratio"))
+    counted = footer.footers(spark, path).agg(F.sum("rows").alias("rows"), F.min("columns").cast("long").alias("columns"), F.min(F.least("group_bytes", "group_meta_bytes", "footer_bytes")).alias("least"))
+    return counted.crossJoin(F.broadcast(out)).select("rows", "columns", (F.col("ratio") < 0.2).alias("small"), (F.col("least") > 0).alias("sizes_known"))
 
 
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,14 +192,19 @@ def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: bytes of the files."""
-    return scan.raw_bytes(spark, f"{sf_dir}/lineitem.parquet")
+    """Every byte of the table's files; how many there are depends on the writer."""
+    out = scan.raw_bytes(spark, f"{sf_dir}/lineitem.parquet")
+    return out.select((F.col("files") >= 1).alias("files"), (F.col("bytes") > 10_000).alias("bytes"))
 
 
 def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: what a selective query read."""
-    m = scan.measured(run(_table(spark, sf_dir, "orders"), parse_query("o_orderkey > 14000", "o_orderkey"), "column").rows)
-    return spark.createDataFrame([(m.seconds, m.rows_read, m.bytes_read)], "seconds double, rows_read long, bytes_read long")
+    """What a selective query reads of row groups of 550 rows: some rows, but under a tenth of those a scan reads."""
+    df = _in_groups(spark, sf_dir, "orders")
+    top = df.agg(F.max("o_orderkey")).first()[0]
+    few, whole = (scan.measured(run(df, parse_query(f"o_orderkey > {k}", "o_orderkey"), "column").rows) for k in (top - 10, -1))
+    group = scan.measured(run(df, parse_query(f"o_orderkey > {top - 10}"), "group").rows)
+    told = (whole.rows_read, 0 < few.rows_read <= 1100, 0 < group.rows_read <= 1100, few.bytes_read < whole.bytes_read)
+    return spark.createDataFrame([told], "rows_of_a_scan long, few_rows boolean, few_rows_of_groups boolean, fewer_bytes boolean")
 
 
 def example_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +223,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _by_spec(n
     "zone_prune_string_eq": _pruned("o_orderstatus == O", 2),
     "selectivity_thresholds": selectivity_thresholds,
     "group_mode": group_mode,
+    "group_mode_float": group_mode_float,
+    "bloom_groups": bloom_groups,
+    "filter_unsigned": filter_unsigned,
+    "agg_unsigned": agg_unsigned,
+    "filter_nan": filter_nan,
+    "agg_nan": agg_nan,
+    "zone_prune_nan": zone_prune_nan,
+    "footer_groups": footer_groups,
     "row_mode": row_mode,
     "bloom_prune": bloom_prune,
     "per_file_agg": per_file_agg,
@@ -201,6 +276,19 @@ ORACLE_SQL: dict[str, str] = {
     "workload_best": """SELECT o_totalprice FROM orders WHERE o_totalprice > 499978.59""",
     "event_scan": """SELECT event_id, value FROM events WHERE event_type = 'purchase' AND value > 100.0""",
     "group_mode": """SELECT o.* FROM (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1)/550.0) AS BIGINT) z FROM orders) t JOIN (SELECT z, MAX(o_orderkey) mx FROM (SELECT o_orderkey, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1)/550.0) AS BIGINT) z FROM orders) GROUP BY 1) m USING (z) JOIN orders o ON o.o_orderkey = t.o_orderkey WHERE m.mx > 14000""",
+    "group_mode_float": """WITH t AS (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1)/550.0) AS BIGINT) z FROM orders), m AS (SELECT z, MAX(o_orderkey) mx, MIN(o_totalprice) mn FROM t GROUP BY 1) SELECT t.* EXCLUDE (z) FROM t JOIN m USING (z) WHERE mn < 1100.0 OR mx >= 14800""",
+    "bloom_prune": """SELECT * FROM orders WHERE o_custkey = 7""",
+    "bloom_groups": """SELECT * FROM orders WHERE o_custkey = 7""",
+    "filter_unsigned": """SELECT o_orderkey, o_orderkey + 2147483648 AS u32 FROM orders WHERE o_orderkey > 5000 AND o_orderkey + 2147483648 > 2147490000""",
+    "agg_unsigned": """SELECT CAST(MIN(o_orderkey)::HUGEINT + 9223372036854770808 AS VARCHAR) AS "MIN(u64)", CAST(MAX(o_orderkey)::HUGEINT + 9223372036854770808 AS VARCHAR) AS "MAX(u64)", CAST(COUNT(*) AS VARCHAR) AS "COUNT(u64)" FROM orders""",
+    "filter_nan": """SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0 AND (o_orderkey % 7 = 0 OR NOT o_totalprice > 100000.0)""",
+    "agg_nan": """SELECT MIN(o_totalprice) FILTER (WHERE o_orderkey % 7 <> 0) AS "MIN(v)", MAX(o_totalprice) FILTER (WHERE o_orderkey % 7 <> 0) AS "MAX(v)", COUNT(*) AS "COUNT(v)" FROM orders WHERE o_orderkey % 11 <> 0""",
+    "zone_prune_nan": """WITH v AS (SELECT o_orderkey, CAST(FLOOR(o_orderkey/4.0) AS BIGINT) z, o_orderkey % 11 <> 0 AND o_orderkey % 7 = 0 AS nan, CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 THEN o_totalprice END AS v FROM orders), m AS (SELECT z, MIN(v) mn, BOOL_OR(nan) nan FROM v GROUP BY 1) SELECT o_orderkey FROM v JOIN m USING (z) WHERE m.mn IS NULL OR m.mn <= 2000.0 OR m.nan""",
+    "footer_groups": """SELECT z AS row_group, COUNT(*) AS rows, MIN(o_orderkey) AS low, MAX(o_orderkey) AS high FROM (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1)/550.0) AS BIGINT) z FROM orders) GROUP BY 1""",
+    "per_file_agg": """SELECT 'orders.parquet' AS file, COUNT(o_orderkey) AS "COUNT(o_orderkey)", MAX(o_orderkey) AS "MAX(o_orderkey)" FROM orders""",
+    "footer_ratio": """SELECT COUNT(*) AS rows, 6::BIGINT AS columns, true AS small, true AS sizes_known FROM orders""",
+    "raw_scan": """SELECT true AS files, true AS bytes""",
+    "scan_metrics": """SELECT COUNT(*) AS rows_of_a_scan, true AS few_rows, true AS few_rows_of_groups, true AS fewer_bytes FROM orders""",
     "row_mode": """SELECT * FROM orders WHERE o_orderkey > 14000""",
     "layout_rewrite": """SELECT * FROM orders""",
     "layout_compact": """SELECT * FROM orders""",

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.predicates import field_of, value_for
-from siltstone.operators.zonemap import BROADCAST_ZONES
 from siltstone.plans.ast import Comparison
 
 HASHES, SLOTS_PER_ROW = 3, 6
@@ -43,6 +42,4 @@ def prune_equal(df: DataFrame, f: Comparison, zone: Column, rows_per_zone: int)
     has = [F.max(F.array_contains(slots(c, size), F.get(sought, F.lit(k)))) for k in range(HASHES)]
     flags = df.where(c.isNotNull()).groupBy(zone.alias("_zone")).agg(*[h.alias(f"h{k}") for k, h in enumerate(has)])
     stay = flags.where(" and ".join(f"h{k}" for k in range(HASHES))).select("_zone")
-    if stay.count() <= BROADCAST_ZONES:
-        stay = F.broadcast(stay)
     return df.withColumn("_zone", zone).join(stay, "_zone", "left_semi").drop("_zone")

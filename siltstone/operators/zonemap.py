@@ -1,7 +1,7 @@
 """Zone maps: least and greatest value of columns for blocks of rows, and which blocks a filter can leave out.
 
-Spark's Parquet reader skips row groups by itself. This is the explicit form, for any zones and as an operator whose
-result (all rows of the blocks that stay) can be seen.
+Spark's Parquet reader skips row groups by itself when rows are filtered. This is the explicit form, an operator whose
+result is all rows of the blocks that stay: for the files' real row groups, told by their footers, and for any zones.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from pyspark.sql import types as T
 
 from siltstone.functions.predicates import FLOATS, QueryError, field_of, is_whole, value_for
 from siltstone.plans.ast import And, Comparison, Filter, Not, Or, columns_of
+from siltstone.sources import footer
 
-#: Zones up to which the list of those that stay is sent to every executor.
-BROADCAST_ZONES = 200_000
 _EPSILON = 2.0**-52
 
 
@@ -79,17 +78,30 @@ def keep(f: Filter, columns: list[str], schema: T.StructType, negated: bool = Fa
     raise QueryError(f"not a filter: {f!r}")
 
 
+def filter_columns(df: DataFrame, f: Filter) -> list[str]:
+    return [c for c in columns_of(f) if c in df.columns and ordered(df.schema[c].dataType)]
+
+
+def prune_groups(df: DataFrame, f: Filter | None, tag: str | None = None) -> DataFrame:
+    """All rows of the row groups of ``df`` (a scan of Parquet files) that the filter can't leave out.
+
+    Judged by the files' own footers; of the others not a byte is read. ``tag``: see ``read_groups``.
+    """
+    columns = filter_columns(df, f) if f is not None else []
+    groups = footer.group_statistics(df.sparkSession, sorted(df.inputFiles()), df.schema, columns)
+    return footer.read_groups(groups.where(keep(f, columns, df.schema)) if columns else groups, df.schema, tag)
+
+
 def prune(df: DataFrame, f: Filter, zone: Column | list[Column]) -> DataFrame:
     """All rows of the zones that the filter can't leave out: a superset of the rows that pass it."""
     zones = zone if isinstance(zone, list) else [zone]
-    columns = [c for c in columns_of(f) if c in df.columns and ordered(df.schema[c].dataType)]
+    columns = filter_columns(df, f)
     if not columns:
         return df
     named = [z.alias(f"_zone_{i}") for i, z in enumerate(zones)]
     keys = [f"_zone_{i}" for i in range(len(zones))]
+    # adaptive execution knows its size before it chooses the join
     stay = zone_map(df, named, columns).where(keep(f, columns, df.schema)).select(*keys)
-    if stay.count() <= BROADCAST_ZONES:
-        stay = F.broadcast(stay)
     tagged = df.select("*", *named)
     same = [tagged[k].eqNullSafe(stay[k]) for k in keys]
     on = same[0]

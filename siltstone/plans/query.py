@@ -40,7 +40,8 @@ def _equalities(f: Filter | None) -> list[Comparison]:
 
 
 def run(source: DataFrame, query: Query, mode: str | Iterable[Feature] = "aggr", *, rows_per_group: int = ROWS_PER_GROUP, coerce: bool = False, strict_null: bool = False, extended: bool = False, per_file: bool = False) -> Result:
-    """``source`` is a scan (``group``, ``bloom`` without ``row``, and ``per_file`` need a file source).
+    """``source`` is a scan (``group``, ``bloom`` without ``row``, and ``per_file`` need a file source; the first two read
+    the files' row groups themselves). ``rows_per_group`` sizes an explicit bloom filter.
 
     Without ROW rows are not filtered: GROUP and BLOOM alone give all rows of the blocks that stay. With it they add
     nothing to the result, and the Parquet reader skips the same blocks itself. Without COLUMN the select list is
@@ -52,13 +53,13 @@ def run(source: DataFrame, query: Query, mode: str | Iterable[Feature] = "aggr",
         passes = condition(query.filter, df.schema, coerce, strict_null)
         if Feature.ROW in on:
             df = df.where(passes)
-        else:
-            if Feature.GROUP in on:
-                df = zonemap.prune(df, query.filter, zonemap.physical_zone(rows_per_group))
-            if Feature.BLOOM in on:
-                zone = F.concat_ws("#", *zonemap.physical_zone(rows_per_group))
-                for f in _equalities(query.filter):
-                    df = bloom.prune_equal(df, f, zone, rows_per_group)
+        elif Feature.BLOOM in on:
+            df = zonemap.prune_groups(df, query.filter if Feature.GROUP in on else None, "_group_of_row")
+            for f in _equalities(query.filter):
+                df = bloom.prune_equal(df, f, F.col("_group_of_row"), rows_per_group)
+            df = df.drop("_group_of_row")
+        elif Feature.GROUP in on:
+            df = zonemap.prune_groups(df, query.filter)
     rows = df
     if Feature.COLUMN in on and query.select is not None:
         rows = df.select(*[f"`{c}`" for c in source.columns if c in query.select])

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.sources import footer
 from siltstone.sources.scan import list_files
 
 ROWS_PER_GROUP, FILES = 550, 16
 
 
+@dataclass(frozen=True)
+class Compacted:
+    """Paths of the outputs, and of the inputs left out with the reason."""
+
+    outputs: list[str]
+    left_out: dict[str, str]
+
+
 def write_groups(df: DataFrame, path: str, rows: int = ROWS_PER_GROUP, compression: str = "snappy", **options: str) -> None:
     """Write with at most ``rows`` rows in a row group; an existing path is an error."""
     df.write.options(**{"parquet.block.row.count.limit": str(rows)}, **options).option("compression", compression).parquet(path)
@@ -23,31 +32,26 @@ def rewrite(spark: SparkSession, source: str, target: str, rows: int = ROWS_PER_
     write_groups(spark.read.parquet(source), target, rows, compression)
 
 
-def readable(spark: SparkSession, path: str) -> DataFrame | None:
-    """The file's rows, or None if it is broken or empty."""
-    try:
-        df = spark.read.parquet(path)
-        return None if df.isEmpty() else df
-    except (PySparkException, Py4JJavaError):
-        return None
-
-
-def compact(spark: SparkSession, folder: str, target: str, files: int = FILES, rows: int = ROWS_PER_GROUP) -> list[str]:
+def compact(spark: SparkSession, folder: str, target: str, files: int = FILES, rows: int = ROWS_PER_GROUP) -> Compacted:
     """At most ``files`` outputs, of successive equal shares of the sorted inputs; plain encoding, uncompressed.
 
-    Broken and empty inputs are left out; the schema is that of the first good one. Returns the outputs' folders.
+    Inputs whose bytes show that they are broken, and empty ones, are left out and named; any other failure is raised.
+    The schema is that of the first good one. One job looks at all footers, one writes all outputs, a task each.
     """
     inputs = list_files(spark, folder)
-    share = math.ceil(len(inputs) / files) if inputs else 1
-    done, schema = [], None
-    for k in range(0, len(inputs), share):
-        good = []
-        for path in inputs[k : k + share]:
-            if (df := readable(spark, path)) is not None:
-                schema = schema or df.schema
-                good.append(path)
-        if good:
-            out = f"{target}/part-{k // share:05d}.parquet"
-            write_groups(spark.read.schema(schema).parquet(*good).coalesce(1), out, rows, "uncompressed", **{"parquet.enable.dictionary": "false"})
-            done.append(out)
-    return done
+    good, left_out = footer.sound(spark, inputs)
+    if not good:
+        return Compacted([], left_out)
+    share, kept = math.ceil(len(inputs) / files), set(good)
+    schema = spark.read.parquet(good[0]).schema
+    parts = [p for k in range(0, len(inputs), share) if (p := [x for x in inputs[k : k + share] if x in kept])]
+    outputs = functools.reduce(DataFrame.unionAll, [spark.read.schema(schema).parquet(*p).coalesce(1) for p in parts])
+    # the shares stay partitions of their own, instead of one that joins partitions of like places
+    name = "spark.sql.unionOutputPartitioning"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        write_groups(outputs, target, rows, "uncompressed", **{"parquet.enable.dictionary": "false"})
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
+    return Compacted(list_files(spark, target), left_out)

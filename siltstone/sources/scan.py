@@ -33,6 +33,24 @@ def raw_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes"))
 
 
+_counters: dict[str, tuple] = {}
+
+
+def counters(spark: SparkSession) -> tuple:
+    """Accumulators of rows and bytes that this package's own reader, not Spark's, took from storage."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _counters:
+        _counters[sc.applicationId] = (sc.accumulator(0), sc.accumulator(0))
+    return _counters[sc.applicationId]
+
+
+def console(df: DataFrame, rows: int = 20) -> str:
+    """Print the first rows as a table; the text is returned as well."""
+    text = df._show_string(rows, False)
+    print(text)
+    return text
+
+
 def discard(df: DataFrame) -> None:
     """Run a plan to its end and drop the rows."""
     df.write.format("noop").mode("overwrite").save()
@@ -51,6 +69,8 @@ def measured(df: DataFrame) -> Measured:
     Bytes count in full only with ``spark.hadoop.parquet.hadoop.vectored.io.enabled=false``.
     """
     sc = df.sparkSession.sparkContext
+    own = counters(df.sparkSession)
+    before = [x.value for x in own]
     group = uuid.uuid4().hex
     sc.setJobGroup(group, "measured scan")
     began = time.perf_counter()
@@ -60,7 +80,7 @@ def measured(df: DataFrame) -> Measured:
         seconds = time.perf_counter() - began
         sc.setLocalProperty("spark.jobGroup.id", None)
     sc._jsc.sc().listenerBus().waitUntilEmpty()
-    tracker, store, rows, size = sc.statusTracker(), sc._jsc.sc().statusStore(), 0, 0
+    tracker, store, (rows, size) = sc.statusTracker(), sc._jsc.sc().statusStore(), (x.value - y for x, y in zip(own, before, strict=True))
     for job in tracker.getJobIdsForGroup(group):
         info = tracker.getJobInfo(job)
         for stage in info.stageIds if info else ():

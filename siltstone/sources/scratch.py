@@ -1,23 +1,31 @@
-"""Where tools put files that a query needs: the cluster's shared folder, or a private one where none is named."""
+"""Where tools put files that a query needs: a folder of the application, under the cluster's shared one."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_own: str | None = None
+_folders: dict[str, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """Under ``spark.checkpoint.dir``, removed when the session ends. A private folder serves local mode only: on a
+    cluster each executor would write to a disk of its own."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _folders:
+        root = sc.getConf().get("spark.checkpoint.dir", None)
+        if not root and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"{(root or 'file://' + tempfile.mkdtemp(prefix='siltstone-')).rstrip('/')}/siltstone-tools/{sc.applicationId}"
+        at = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _folders[sc.applicationId] = root
+    return _folders[sc.applicationId]
 
 
 def path(spark: SparkSession, tag: str) -> str:
-    global _own
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if _own is None:
-            _own = tempfile.mkdtemp(prefix="siltstone-")
-            atexit.register(shutil.rmtree, _own, ignore_errors=True)
-        root = f"file://{_own}"
-    return f"{root.rstrip('/')}/siltstone/{tag}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"

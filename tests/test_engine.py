@@ -176,8 +176,10 @@ def test_layout_and_footers(spark, tmp_path):
     pq.write_table(pa.table({"x": pa.array([], pa.int64()), "s": pa.array([], pa.string())}), f"{src}/f20.parquet")
     with open(f"{src}/f21.parquet", "wb") as f:
         f.write(b"not parquet at all")
-    done = layout.compact(spark, src, str(tmp_path / "few"), files=4, rows=150)
-    assert len(done) == 4
+    packed = layout.compact(spark, src, str(tmp_path / "few"), files=4, rows=150)
+    done = packed.outputs
+    assert len(done) == 4 and set(packed.left_out) == {f"file:{src}/f20.parquet", f"file:{src}/f21.parquet"}
+    assert layout.compact(spark, str(tmp_path / "none"), str(tmp_path / "nothing")).outputs == []
     out = spark.read.parquet(*done)
     assert sorted(r.x for r in out.collect()) == list(range(2000))
     f = footer.footers(spark, done[0])
@@ -187,11 +189,30 @@ def test_layout_and_footers(spark, tmp_path):
     layout.rewrite(spark, done[0], str(tmp_path / "again"), rows=50)
     assert footer.footers(spark, str(tmp_path / "again")).agg(F.max("rows")).first()[0] == 50
     assert footer.metadata_ratio(spark, str(tmp_path / "again")).first().row_groups == 12
+    assert footer.footers(spark, str(tmp_path / "again")).where("group_meta_bytes > 100").count() == 12
     assert scan.raw_bytes(spark, done[0]).first().files == 1
     with pytest.raises(Exception, match="Parquet"):
         footer.footers(spark, src).collect()
 
 
+def test_group_mode_reads_the_groups_that_stay(spark, tmp_path):
+    path = str(tmp_path / "g")
+    df = spark.range(5500).select("id", (F.col("id") * 1.5).alias("x"), F.concat(F.lit("s"), F.col("id")).alias("s"), F.expr("timestamp_ntz'2020-01-01' + make_interval(0,0,0,0,0,0,id)").alias("t"))
+    layout.write_groups(df.coalesce(1), path)
+    source = spark.read.parquet(path)
+    for text, rows in (("id > 5400", 550), ("id < 10 OR id >= 5499", 1100), ("NOT id > 600", 1100), ("x > 8000.0", 550), ("id > 99999", 0), ("t >= 2020-01-01-01:30:00", 550), ("s == nothing", 0)):
+        out = run(source, parse_query(text), "group").rows
+        assert out.schema == source.schema
+        got = scan.measured(out)
+        assert got.rows_read == rows == out.count(), text
+    whole = scan.measured(run(source, parse_query(""), "none").rows)
+    assert scan.measured(run(source, parse_query("id > 5400"), "group").rows).bytes_read < 0.3 * whole.bytes_read
+    pq.write_table(pa.table({"id": [1, 2]}), str(tmp_path / "g" / "other.parquet"))  # a file that lacks columns
+    assert run(spark.read.schema(source.schema).parquet(path), parse_query("x > 8000.0"), "group").rows.count() == 552
+    assert {r.id for r in run(source, parse_query("id == 77"), [Feature.GROUP, Feature.BLOOM]).rows.collect()} == set(range(550))
+    assert "5499" in scan.console(source.where("id = 5499"))
+
+
 def test_bloom_files(spark, tmp_path):
     df = spark.range(20_000).select((F.xxhash64("id") % 1000 * 2).alias("k"))
     path = str(tmp_path / "b")
