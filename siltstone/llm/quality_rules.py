@@ -84,10 +84,15 @@ def _shouts(t: Text) -> bool:
     return letters >= 20 and 10 * upper > 4 * letters
 
 
-def _abuse(words: tuple[str, ...], apart: int) -> Callable[[Text], bool]:
-    """A word of abuse for every ``apart`` words, one at least."""
+def _abuse(words: tuple[str, ...], apart: int, close: int = 600) -> Callable[[Text], bool]:
+    """A word of abuse for every ``apart`` words, one at least, or three within ``close`` bytes of a text of any length."""
     found = re.compile(rb"(?<![a-z])(?:%s)(?![a-z])" % "|".join(words).encode(), re.IGNORECASE)
-    return lambda t: (hits := len(found.findall(t.raw))) > 0 and hits * apart >= t.stats.n_words
+
+    def rejects(t: Text) -> bool:
+        at = [m.start() for m in found.finditer(t.raw)]
+        return len(at) > 0 and len(at) * apart >= t.stats.n_words or any(z - x <= close for x, z in zip(at, at[2:], strict=False))
+
+    return rejects
 
 
 _bullet = ("•".encode(), "‣".encode(), "▪".encode(), "●".encode(), b"- ", b"* ")

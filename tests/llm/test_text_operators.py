@@ -220,7 +220,8 @@ def verdict(text, rules):
     pairs = Counter(zip(w, w[1:], strict=False)).most_common(1)[0]
     paragraphs = [x for x in (y.strip(b" \t\n\x0b\f\r") for y in raw.split(b"\n\n")) if x]
     bullets = tuple(x.encode() for x in ("•", "‣", "▪", "●", "- ", "* "))
-    abuse = sum(len(re.findall(rf"(?<![a-z]){x}(?![a-z])", s, re.IGNORECASE | re.ASCII)) for x in quality_rules.ABUSE)
+    at = sorted(m.start() for x in quality_rules.ABUSE for m in re.finditer(rf"(?<![a-z]){x}(?![a-z])", s, re.IGNORECASE | re.ASCII))
+    abuse, close = len(at), any(len(s[x:z].encode()) <= 600 for x, z in zip(at, at[2:], strict=False))
     bad = [
         10 * symbols > n, not 2.5 <= chars / n <= 12, dup >= 3 and 2 * dup > s.count("\n") + 1, 2 * s.count("!") > n,
         len(lines) >= 3 and sum(x.startswith(bullets) for x in lines) > 0.9 * len(lines),
@@ -228,7 +229,7 @@ def verdict(text, rules):
         len(latin) >= 20 and sum(c.isupper() for c in latin) > 0.4 * len(latin),
         5 * sum(not any(c.isalpha() or ord(c) > 127 for c in x.decode()) for x in w) > n,
         n >= 100 and 10 * len(set(w)) < n, 5 * pairs[1] * sum(map(len, pairs[0])) > sum(map(len, w)),
-        2 * sum(c in "0123456789" for c in s) > chars, abuse > 0 and abuse * 500 >= n,
+        2 * sum(c in "0123456789" for c in s) > chars, abuse > 0 and abuse * 500 >= n, close,
         len(paragraphs) >= 4 and 10 * (len(paragraphs) - len(set(paragraphs))) > 3 * len(paragraphs),
     ]
     return not any(bad)
@@ -239,7 +240,7 @@ def test_every_rule(spark):
 
     rng = random.Random(2)
     prose = lambda n: " ".join(f"wort{rng.randrange(4000)}en" for _ in range(n))
-    texts = [prose(90), prose(60) + " #" * 20, prose(70) + " a" * 190, "\n".join([prose(60), *["same line here"] * 8]), prose(60) + "!" * 60, "\n".join("- " + prose(20) for _ in range(5)), "\n".join(prose(20) + "..." for _ in range(5)), prose(80).upper(), prose(60) + " 12 / 34 -- 99 ++ 7 8 9 1 2 3 4 5", " ".join(f"{x}{y}" for x in "abcd" for y in "efgh") * 30, prose(70) + " x".join(f" {k}" for k in range(99999000, 99999070)), prose(80) + " you Idiot", "\n\n".join([prose(30), *["the very same paragraph"] * 3, prose(30)]), prose(60) + " lorem ipsum,".join(str(k) for k in range(30))]
+    texts = [prose(90), prose(60) + " #" * 20, prose(70) + " a" * 190, "\n".join([prose(60), *["same line here"] * 8]), prose(60) + "!" * 60, "\n".join("- " + prose(20) for _ in range(5)), "\n".join(prose(20) + "..." for _ in range(5)), prose(80).upper(), prose(60) + " 12 / 34 -- 99 ++ 7 8 9 1 2 3 4 5", " ".join(f"{x}{y}" for x in "abcd" for y in "efgh") * 30, prose(70) + " x".join(f" {k}" for k in range(99999000, 99999070)), prose(80) + " you Idiot", "\n\n".join([prose(30), *["the very same paragraph"] * 3, prose(30)]), prose(60) + " lorem ipsum,".join(str(k) for k in range(30)), prose(3000) + " loser, you pathetic moron " + prose(900), prose(3000) + " loser " + prose(900)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in quality_rules.apply_rules(df).collect()}
     assert {i for i, r in got.items() if r.kept} == {i for i, t in enumerate(texts) if verdict(t, None)} and got[0].kept
@@ -519,6 +520,77 @@ def test_suffix_tree_is_a_distribution(spark, depth):
         assert abs(total - 1) < 1e-6, (p, total)
 
 
+class Reference:
+    """The suffix tree once more, by dictionaries: P(w | words before) as the operator's docstring defines it."""
+
+    def __init__(self, texts, depth):
+        t = suffix_tree
+        self.count = Counter(w for x in texts for w in [*words(x, True), None])
+        self.z = sum(self.count.values()) + len(self.count) + 1
+        self.often = {w for w, c in self.count.items() if c >= t.FREQUENT}
+        self.rare = 1 - sum((self.count[w] + 1) / self.z for w in self.often)
+        self.kept, self.states = {}, [set()]
+        after = Counter()
+        for x in texts:
+            w = [*words(x, True), None]
+            for k in range(len(w)):
+                for n in range(1, min(k, depth) + 1):
+                    if all(v in self.often for v in w[k - n : k]):
+                        after[tuple(w[k - n : k]), w[k] if w[k] in self.often else 0] += 1
+        for level in range(1, depth + 1):
+            n_of, here = Counter(), {}
+            for (s, w), c in after.items():
+                if len(s) == level:
+                    n_of[s] += c
+                    here.setdefault(s, {})[w] = c
+            self.states.append({s for s, n in n_of.items() if n >= t.FREQUENT})
+            for s in self.states[level]:
+                n, p = n_of[s], lambda w, s=s: self.prob(w, s[1:])
+                own = {w: math.log((c + t.PRIOR * p(w)) / (n + t.PRIOR) / p(w)) for w, c in here[s].items() if w != 0 and c >= t.WORD_COUNT and c * math.log(c / n / p(w)) >= t.WORD_GAIN}
+                r, others = here[s].get(0, 0), n - sum(here[s][w] for w in own) - here[s].get(0, 0)
+                p_rare = p(0)
+                p_others = max(1 - sum(p(w) for w in own) - p_rare, 1e-9)
+                share = lambda c, q, n=n: math.log((c + t.PRIOR * q) / ((n + t.PRIOR) * q))
+                bf, br = share(others, p_others), share(r, p_rare)
+                if sum(here[s][w] * x for w, x in own.items()) + others * bf + r * br >= t.STATE_GAIN + t.WORD_COST * len(own):
+                    self.kept[s] = (own, bf, br)
+
+    def prob(self, w, context):
+        """Of a frequent word, or (w = 0) of all others together, behind a state's words."""
+        p = self.rare if w == 0 else (self.count[w] + 1) / self.z
+        for n in range(1, len(context) + 1):
+            if (state := self.kept.get(tuple(context[-n:]))) is not None:
+                p *= math.exp(state[2] if w == 0 else state[0].get(w, state[1]))
+        return p
+
+    def score(self, text, depth):
+        w, total = [*words(text, True), None], 0.0
+        for k, v in enumerate(w):
+            n = 0
+            while n < min(k, depth) and tuple(w[k - n - 1 : k]) in self.states[n + 1]:
+                n += 1
+            p = self.prob(v if v in self.often else 0, tuple(w[k - n : k]))
+            total += math.log10(p if v in self.often else p / self.rare * (self.count[v] + 1) / self.z)
+        return total
+
+
+@pytest.mark.parametrize("depth", [2, 4])
+def test_scores_by_brute_force(spark, depth):
+    import random
+
+    rng = random.Random(11)
+    line = lambda: rng.choice(["a b c d e", "x b c d f", "y b c g", "h a b", "k", f"r{rng.randrange(400)}"])
+    texts = [" ".join(line() for _ in range(rng.randrange(60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree, by_hand = suffix_tree.fit(df, depth), Reference(texts, depth)
+    assert {len(s) for s in by_hand.kept} >= set(range(1, min(depth, 3) + 1))
+    new = ["a b c d e a", "x b c d e", "unknown b c d f", "B C g\nh", "", None, "r1 r2 b c", "a b c d f " * 9]
+    asked = spark.createDataFrame([*enumerate(texts), *((1000 + k, t) for k, t in enumerate(new))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.score(asked, tree).collect()}
+    for i, t in [*enumerate(texts), *((1000 + k, t) for k, t in enumerate(new))]:
+        assert got[i] == pytest.approx(by_hand.score(t, depth), abs=1e-6), (i, t)
+
+
 @pytest.mark.parametrize("told", [True, False])
 def test_suffix_tree_outside_the_frame(spark, monkeypatch, told):
     """What is sent to executors doesn't change the model: scores are the same with nearly all words and states outside."""
