@@ -183,7 +183,7 @@ def clusters(nodes: DataFrame, least: float, overlap: int) -> DataFrame:
     total = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     table: dict[tuple, np.ndarray] = {}
     if total:
-        some = nodes.where(uniform("id", seed=3) < SAMPLE / total).join(F.broadcast(large), ["label", "dim"])
+        some = nodes.where(uniform("id", seed=3) < SAMPLE / total).join(large, ["label", "dim"])
         sample = some.select("id", "label", "dim", "x", "n").toArrow().sort_by("id")
         keys = list(zip(sample.column("label").to_pylist(), sample.column("dim").to_pylist(), strict=True))
         vectors, n = sample.column("x").to_pylist(), sample.column("n").to_pylist()
@@ -307,13 +307,14 @@ def near_links(nodes: DataFrame, least: float, overlap: int = OVERLAP, beam: int
 def true_links(nodes: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """id, true: for nodes holding an id divisible by 20 the size of all their linked nodes, by brute force: that query
     set against all rows of the label, in blocks."""
-    n = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
+    # queries are a twentieth of the rows, and so are their parts of the blocks
+    n = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"), F.ceil(F.count("*") / CHUNK / 20).cast("int").alias("parts"))
     rows = nodes.join(n, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     wanted = members.where("vec % 20 = 0").select("id").distinct()
-    asked = rows.join(wanted, "id", "left_semi").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(c)
-    asked = asked.select(F.col("label").alias("l"), F.col("dim").alias("d"), spread("b"), "part", F.col("id").alias("qid"), F.col("x").alias("qx"))
-    rows = rows.select("label", "dim", "block", spread("part"), "id", "size", "x")
+    asked = rows.join(wanted, "id", "left_semi").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+    spread = lambda c, of: F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias(c)
+    asked = asked.select(F.col("label").alias("l"), F.col("dim").alias("d"), spread("b", "blocks"), "part", F.col("id").alias("qid"), F.col("x").alias("qx"))
+    rows = rows.select("label", "dim", "block", spread("part", "parts"), "id", "size", "x")
 
     def count(refs: pa.Table, queries: pa.Table) -> pa.Table:
         if not refs.num_rows or not queries.num_rows:
