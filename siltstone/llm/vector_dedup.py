@@ -248,7 +248,8 @@ def clusters(nodes: DataFrame, least: float, overlap: int) -> DataFrame:
         dealt = materialize(copies.select("id", "label", "x", "dim", "size", "cell", "first"), "dealt")
     for part in done:
         dealt = dealt.unionByName(part)
-    blocks = dealt.groupBy(*KEY).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # written, so that the join has no use for an exchange by cells, which would gather a large one in a task
+    blocks = materialize(dealt.groupBy(*KEY).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     return materialize(dealt.join(blocks, KEY).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "shards")
 
 
