@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\f\r"
+BATCH_BYTES = "2m"
 _roots: dict[str, str] = {}
 
 
@@ -61,10 +62,12 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back: cuts lineage, survives lost executors.
 
-    Small tables get few files: partitions are merged up to the advisory size rather than spread over all cores.
+    Small tables get few files: partitions are merged up to the advisory size rather than spread over all cores. Python
+    workers get BATCH_BYTES at a time; both they and the JVM hold several batches.
     """
-    path = scratch_path(df.sparkSession, tag)
-    with setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"), setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
