@@ -692,6 +692,57 @@ def test_jaccard_near_copies(spark, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_pairs_meet_once(spark, monkeypatch):
+    """Rows that share hundreds of columns and don't link are paired about once, not once a column."""
+    import random
+
+    rng = random.Random(12)
+    base = [f"v{k}" for k in range(600)]
+    rows = []
+    for i in range(24):
+        w = list(base)
+        for k in rng.sample(range(600), 16 if i < 16 else 9):  # with 16 words of their own few of them link
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {}
+    real = jaccard_join.materialize
+
+    def seen(table, tag):
+        made[tag] = real(table, tag)
+        return made[tag]
+
+    monkeypatch.setattr(jaccard_join, "materialize", seen)
+    got = jaccard_join.jaccard_components(df, 4, 85).collect()
+    assert Counter(map(tuple, got)) == components_by_brute_force(rows, 4, 85)
+    cells = made["open-cells"].collect()
+    place = {(r.rep, r.g): r for r in cells}
+    formed = Counter()
+    for r in cells:
+        for o in cells:
+            if r.g == o.g and r.rep < o.rep and r.part != o.part and not set(r.before) & set(o.before):
+                formed[r.rep, o.rep] += 1
+    shared = sum(r.g == o.g and r.rep < o.rep and r.part != o.part for r in cells for o in cells)
+    assert len(place) == len(cells) and shared > 10 * sum(formed.values()) > 0
+    assert sum(formed.values()) < 2 * len(formed)
+    assert set(map(tuple, made["candidates"].collect())) <= set(formed) | {(b, a) for a, b in formed}
+
+
+def test_parities_bound_the_difference():
+    import random
+
+    rng = random.Random(6)
+    sets = [{rng.randrange(2**64) for _ in range(300)}]
+    for k in range(1, 40):
+        sets.append(set(rng.sample(sorted(sets[0]), 300 - k)) | {rng.randrange(2**64) for _ in range(k)})
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    words = jaccard_join.parities(row, np.array([g for x in sets for g in x], np.uint64), len(sets)).reshape(len(sets), -1)
+    for a in range(len(sets)):
+        for b in range(a):
+            differ = int(np.bitwise_count(words[a] ^ words[b]).sum())
+            assert len(sets[a] ^ sets[b]) // 2 <= differ <= len(sets[a] ^ sets[b]) and (differ - len(sets[a] ^ sets[b])) % 2 == 0
+
+
 # ---------------------------------------------------------------- 10: mixing
 
 
