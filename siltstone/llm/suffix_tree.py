@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_BITS, hash_words, in_sketch, keep, materialize, mix64, most_used, sketch, text_groups
+from .common import SKETCH_BITS, hash_words, in_sketch, keep, materialize, mix64, most_used, release, sketch, text_groups
 
 END = np.uint64(0x5EED0E4D)
 #: Least number of occurrences of a frequent word and of a state, whatever the corpus.
@@ -236,6 +236,7 @@ def fit(train: DataFrame, depth: int = DEPTH, frame_size: int = FRAME, *, text_c
     entries = unigrams.select(F.col("e").alias("key"), F.lit(0).alias("kind"), F.log10(F.col("c") + 1).alias("value"), F.col("c").alias("weight"))
     shares: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held: list[DataFrame] = []  # of each level: anc_<level>, w, d
+    last: list[DataFrame] = []  # what the entries are made of
     # of the level's states: how often they occur, log b of all their ancestors, and the ancestors level by level
     end = int(END.view(np.int64))
     states = known.where(F.col("e") != end).select(F.col("w").alias("s"), F.col("c").alias("n"), F.lit(0.0).alias("base_f"), F.lit(0.0).alias("base_r"))
@@ -277,6 +278,7 @@ def fit(train: DataFrame, depth: int = DEPTH, frame_size: int = FRAME, *, text_c
         st = st.withColumns({"bf": share("others", "p_others"), "br": share("r", "p_rare")})
         st = st.withColumn("kept", F.col("g") + F.col("others") * F.col("bf") + F.col("r") * F.col("br") >= STATE_GAIN + WORD_COST * F.col("k"))
         st = materialize(st.drop("c", "q", "k", "g", "r", "p_rare", "others", "p_others"), "states")
+        release(states)
         kept = st.where("kept")
         framed = kept.where(F.col("s") < OUTSIDE).select("s", "bf", "br").toArrow()  # frame_size rows at most
         at = framed.column("s").to_numpy()
@@ -284,6 +286,8 @@ def fit(train: DataFrame, depth: int = DEPTH, frame_size: int = FRAME, *, text_c
         bf[at], br[at], is_kept[at] = framed.column("bf").to_numpy() / tenth, framed.column("br").to_numpy() / tenth, True
         shares.append((bf, br, is_kept))
         mine = materialize(e.join(near(kept.select("s", "bf"), n_states), "s").select("s", "w", (own - F.col("bf")).alias("d"), "c"), "words-of-states")
+        release(e)
+        last += [mine, st]
         held.append(mine.select(F.col("s").alias(f"anc_{level}"), "w", F.col("d").alias(f"d_{level}")))
         names = ["key", "kind", "value", "weight"]
 
@@ -313,7 +317,7 @@ def fit(train: DataFrame, depth: int = DEPTH, frame_size: int = FRAME, *, text_c
                     par = w if level == 1 else sent.value.longer_states(level, short, w)
                     yield pa.RecordBatch.from_arrays([pa.array(pair(level + 1, s, w).view(np.int64)), b.column(2), pa.array(par)], names=["h", "n", "par"])
 
-            more = materialize(more.mapInArrow(grown, "h long, n long, par long"), "longer")
+            more = written = materialize(more.mapInArrow(grown, "h long, n long, par long"), "longer")
             n_states = more.count()
             top = (more if n_states <= frame_size else more.where(most_used(more, "n", frame_size))).select("h").toArrow().column("h").to_numpy()
             n_framed = len(top)
@@ -323,8 +327,12 @@ def fit(train: DataFrame, depth: int = DEPTH, frame_size: int = FRAME, *, text_c
             b = lambda c: F.col(f"base_{c[1]}") + F.when(F.col("kept"), F.col(c)).otherwise(0.0)
             above = st.select(F.col("s").alias("par"), b("bf").alias("base_f"), b("br").alias("base_r"), *(f"anc_{i}" for i in range(1, level)))
             states = materialize(more.join(above, "par").withColumnRenamed("par", f"anc_{level}"), "next-states")
+            release(written)
             frame.others.append(False if n_states <= n_framed else _told(states.where(F.col("s") >= OUTSIDE).select("s")))
-    return Tree(spark, materialize(entries, "entries"), n, v, frame, shares, others)
+        release(seen)
+    entries = materialize(entries, "entries")
+    release(*last)
+    return Tree(spark, entries, n, v, frame, shares, others)
 
 
 def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -610,6 +610,35 @@ def test_suffix_tree_outside_the_frame(spark, monkeypatch, told):
     assert any(r.score > r.base_score + 1 for r in whole.values())
 
 
+def test_scratch_and_shuffles_are_given_back(spark):
+    """What was shuffled for a written table goes when it is written, what the fit wrote goes but for the model."""
+    import time
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    def tables():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(common.scratch_root(spark))
+        return {x.getPath().getName() for x in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
+
+    before = shuffled()
+    kept = common.materialize(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "counts")
+    end = time.time() + 10
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before and kept.count() == 700
+    before = tables()
+    common.release(kept, kept.where("k > 1"))
+    assert len(before - tables()) == 1
+    before = tables()
+    rows = [(k, "a b c d e f " * 20) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tree = suffix_tree.fit(df, 3)
+    assert {x.rsplit("-", 1)[0] for x in tables() - before} == {"unigrams", "words", "entries"}
+    assert suffix_tree.score(df, tree).where("score > base_score").count() == 20
+
+
 def test_suffix_tree_counts_don_t_shrink_with_the_corpus(spark):
     """36 occurrences among 4,000,000 tokens make a word and a state."""
     rows = [(k, "a b c d " * 25_000 + ("p q" if k < 36 else "")) for k in range(40)]
