@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,9 @@ SENT_ROWS = 200_000
 #: Events that a task counts together.
 COUNTED = 2_000_000
 TAIL_BITS = 1 << 28
+#: Entries that are looked up by a join go in so many passes at most, each of so many lookups at least: what a pass has
+#: shuffled goes before the next.
+PASSES, LOOKUPS = 8, 4_000_000
 
 
 def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -402,11 +406,18 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     part = materialize(d.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, rest array<long>, doubt array<struct<w:long,f:long,r:long>>"), "scores")
-    rest = part.select("rid", F.explode("rest").alias("key")).join(tail, "key").select("rid", "kind", "value")
+    asked = int(part.agg(F.sum(F.size("rest"))).first()[0] or 0)
+    passes = max(1, min(PASSES, -(-asked // LOOKUPS)))
+    summed = (F.sum(F.when(F.col("kind") == 0, F.col("value")).otherwise(0.0)).alias("words"), F.sum("value").alias("all"), F.count(F.when(F.col("kind") == 0, 1)).alias("more"))
+    rests = []
+    for k in range(passes):
+        mine = F.pmod("key", F.lit(passes)) == k
+        rest = part.select("rid", F.explode("rest").alias("key")).where(mine).join(tail.where(mine), "key").select("rid", "kind", "value")
+        rests.append(materialize(rest.groupBy("rid").agg(*summed), "sums"))
     if tree.frame.others[0] is not False:
         doubt = part.select("rid", F.inline("doubt")).join(tree.others.select("w", F.lit(True).alias("is")), "w", "left")
         doubt = doubt.select("rid", F.when(F.col("is"), F.col("f")).otherwise(F.col("r")).alias("key"))
-        rest = rest.union(doubt.join(tree.entries, "key").select("rid", "kind", "value"))
-    rest = rest.groupBy("rid").agg(F.sum(F.when(F.col("kind") == 0, F.col("value")).otherwise(0.0)).alias("words"), F.sum("value").alias("all"), F.count(F.when(F.col("kind") == 0, 1)).alias("more"))
+        rests.append(doubt.join(tree.entries, "key").groupBy("rid").agg(*summed))
+    rest = reduce(DataFrame.union, rests).groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("words", "all", "more")))
     out = part.drop("rest", "doubt").join(rest, "rid", "left")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base_score") + F.coalesce("words", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("all", F.lit(0.0))).alias("score"))

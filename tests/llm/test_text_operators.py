@@ -610,6 +610,22 @@ def test_suffix_tree_outside_the_frame(spark, monkeypatch, told):
     assert any(r.score > r.base_score + 1 for r in whole.values())
 
 
+def test_lookups_in_passes(spark, monkeypatch):
+    """Lookups that are joined go in passes, with the same scores."""
+    rows = [(k, "a b c d e f " * 20 + f"g{k % 7} h{k}") for k in range(40)] + [(40, None), (41, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tree = suffix_tree.fit(df, 3)
+    once = {tuple(r) for r in suffix_tree.score(df, tree, head=4).collect()}
+    tags, real = [], suffix_tree.materialize
+    monkeypatch.setattr(suffix_tree, "LOOKUPS", 100)
+    monkeypatch.setattr(suffix_tree, "materialize", lambda table, tag: (tags.append(tag), real(table, tag))[1])
+    got = {r.doc_id: r for r in suffix_tree.score(df, tree, head=4).collect()}
+    assert tags.count("sums") == suffix_tree.PASSES > 1 and len(got) == len(once) == 42
+    for doc_id, n_tokens, n_known, base, score in once:
+        assert (got[doc_id].n_tokens, got[doc_id].n_known) == (n_tokens, n_known)
+        assert got[doc_id].base_score == pytest.approx(base, abs=1e-9) and got[doc_id].score == pytest.approx(score, abs=1e-9)
+
+
 def test_scratch_and_shuffles_are_given_back(spark):
     """What was shuffled for a written table goes when it is written, what the fit wrote goes but for the model."""
     import time
