@@ -16,16 +16,16 @@ entries: the most used are sent, the rest is joined. What is sent changes costs,
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_BITS, hash_words, in_sketch, keep, materialize, mix64, most_used, release, sketch, text_groups
+from .common import SKETCH_BITS, hash_words, in_sketch, keep, materialize, materialize_parts, mix64, most_used, release, sketch, text_groups
 
 END = np.uint64(0x5EED0E4D)
 #: Least number of occurrences of a frequent word and of a state, whatever the corpus.
@@ -45,9 +45,11 @@ SENT_ROWS = 200_000
 #: Events that a task counts together.
 COUNTED = 2_000_000
 TAIL_BITS = 1 << 28
-#: Entries that are looked up by a join go in so many passes at most, each of so many lookups at least: what a pass has
+#: Entries that aren't sent are looked up in so many passes at most, each of so many lookups at least: what a pass has
 #: shuffled goes before the next.
 PASSES, LOOKUPS = 8, 4_000_000
+#: Events that a group of counts has, and entries that a group of lookups has, on average; a task holds one group.
+EVENTS_OF_GROUP, ENTRIES_OF_GROUP = 1_000_000, 1 << 18
 
 
 def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,33 +103,105 @@ def _index(name: str, keys: np.ndarray) -> Index:
     return _indexes[name]
 
 
-def _counted(events: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The events' columns and c: counts of equal events, passed on in portions."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _counts(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The different events' columns, and how often each occurs."""
+    cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+    if len(cols) == 1:
+        return list(np.unique(cols[0], return_counts=True))
+    if max(int(x.max(initial=0)) for x in cols) < 1 << 31:
+        u, n = np.unique(cols[0] << 32 | cols[1], return_counts=True)
+        return [u >> 32, u & 0xFFFFFFFF, n]
+    _, at, n = np.unique(pair(0, *cols), return_index=True, return_counts=True)
+    return [*(x[at] for x in cols), n]
 
-    def portion() -> pa.RecordBatch:
-        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-        held.clear()
-        if len(cols) == 1:
-            u, n = np.unique(cols[0], return_counts=True)
-            out = [u]
-        elif max(int(x.max(initial=0)) for x in cols) < 1 << 31:
-            u, n = np.unique(cols[0] << 32 | cols[1], return_counts=True)
-            out = [u >> 32, u & 0xFFFFFFFF]
-        else:
-            _, at, n = np.unique(pair(0, *cols), return_index=True, return_counts=True)
-            out = [x[at] for x in cols]
-        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in out), pa.array(n)], names=[*names, "c"])
 
+def _portions(events: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """Events in lists of COUNTED or so."""
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
     for x in events:
         held.append(x)
         size += len(x[0])
         if size > COUNTED:
-            yield portion()
-            size = 0
+            yield held
+            held, size = [], 0
     if held:
-        yield portion()
+        yield held
+
+
+def _counted(events: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The events' columns and c: counts of equal events, passed on in portions."""
+    for held in _portions(events):
+        *out, n = _counts(held)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in out), pa.array(n)], names=[*names, "c"])
+
+
+#: Rows of a group (or of documents from that row on), packed.
+PACKED = pa.schema([("g", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+
+
+def pack(*cols: np.ndarray, differences: bool = True) -> bytes:
+    """Columns of 64-bit numbers without the bytes that are zero in all rows, byte by byte and compressed; the first,
+    best a sorted one, by differences."""
+    widths, planes = [], []
+    for k, x in enumerate(cols):
+        x = np.ascontiguousarray(x).view(np.uint64)
+        if differences and not k:
+            x = np.diff(x, prepend=np.uint64(0))
+        widths.append((int(x.max(initial=0)).bit_length() + 7) // 8)
+        planes.append(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, : widths[-1]].T.tobytes())
+    return bytes(widths) + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpack(n: int, packed: bytes, cols: int, differences: bool = True) -> list[np.ndarray]:
+    """The columns (unsigned) of ``n`` rows that ``pack`` made."""
+    widths = packed[:cols]
+    raw, at, out = np.frombuffer(pa.decompress(packed[cols:], n * sum(widths), codec="zstd"), np.uint8), 0, []
+    for k, w in enumerate(widths):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :w] = raw[at : at + n * w].reshape(w, n).T
+        at += n * w
+        x = x.view("<u8").ravel()
+        out.append(np.cumsum(x, dtype=np.uint64) if differences and not k else x)
+    return out
+
+
+def _dealt(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group with the places of its rows, in their order."""
+    size = np.bincount(group)
+    order = np.argsort(group.astype(np.uint16) if len(size) <= 1 << 16 else group, kind="stable")
+    ends = np.cumsum(size)
+    for g in np.flatnonzero(size).tolist():
+        yield g, order[ends[g] - size[g] : ends[g]]
+
+
+def _dealt_counts(events: Iterator[tuple[np.ndarray, np.ndarray]], groups: int) -> Iterator[pa.RecordBatch]:
+    """Counts of equal events (s, w), packed for each of ``groups`` groups: g, n, packed (s, w, c)."""
+    for held in _portions(events):
+        s, w, c = _counts(held)
+        group = (pair(0, s, w) % np.uint64(groups)).astype(np.int64)
+        yield pa.RecordBatch.from_pylist([{"g": g, "n": len(at), "packed": pack(s[at], w[at], c[at])} for g, at in _dealt(group)], PACKED)
+
+
+def _adder(least: int, always: int, often: Broadcast | None = None, z: int = 0) -> Callable[[pa.Table], pa.Table]:
+    """The sums of a group's counts: of ``least`` or more, or of the word ``always``. ``often``: how often each frequent
+    word occurs; states are words then, and what they can't keep, nor is a state with its word, is left out."""
+
+    def added(packed: pa.Table) -> pa.Table:
+        rows = zip(packed.column("n").to_pylist(), packed.column("packed").to_pylist(), strict=True)
+        s, w, c = (np.concatenate(x).view(np.int64) for x in zip(*(unpack(n, x, 3) for n, x in rows), strict=True))
+        order = np.argsort(s << 32 | w) if max(s.max(), w.max()) < 1 << 31 else np.lexsort((w, s))
+        s, w = s[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (w[1:] != w[:-1])]))
+        s, w, c = s[first], w[first], np.add.reduceat(c[order], first)
+        stay = (c >= least) | (w == always)
+        if often is not None:
+            at = np.flatnonzero(stay & (w != always) & (c < FREQUENT))
+            n, p = often.value[s[at]], (often.value[w[at]] + 1) / z
+            stay[at[c[at] * np.log(c[at] / (n * p)) < WORD_GAIN - 1e-6]] = False
+        return pa.table({"s": s[stay], "w": w[stay], "c": c[stay]})
+
+    return added
 
 
 def pair(salt: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -249,7 +323,7 @@ def fit(train: DataFrame, depth: int = DEPTH, frame_size: int = FRAME, *, text_c
     for level in range(1, depth + 1):
         sent = spark.sparkContext.broadcast(frame)
 
-        def events(batches: Iterator[pa.RecordBatch], level: int = level, sent=sent) -> Iterator[pa.RecordBatch]:
+        def events(batches: Iterator[pa.RecordBatch], level: int = level, sent=sent, groups_of: int = 1 + n // EVENTS_OF_GROUP) -> Iterator[pa.RecordBatch]:
             def found() -> Iterator[tuple[np.ndarray, ...]]:
                 f = sent.value
                 for t, _, place in groups(batches):
@@ -257,9 +331,11 @@ def fit(train: DataFrame, depth: int = DEPTH, frame_size: int = FRAME, *, text_c
                     s = f.states(number, t, place, level)[-1]
                     yield s[s >= 0], number[s >= 0]
 
-            return _counted(found(), ["s", "w"])
+            return _dealt_counts(found(), groups_of)
 
-        seen = d.mapInArrow(events, "s long, w long, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
+        least = WORD_COUNT if frame.others[0] is False else 1
+        often_sent = spark.sparkContext.broadcast(counts) if level == 1 and frame.others[0] is False else None
+        seen = d.mapInArrow(events, "g long, n long, packed binary").groupBy("g").applyInArrow(_adder(least, rare_number, often_sent, z), "s long, w long, c long")
         if frame.others[0] is not False:  # words that the sketch takes wrongly for frequent ones
             seen = seen.join(others.select("w", F.lit(True).alias("is")), "w", "left")
             seen = seen.withColumn("w", F.when((F.col("w") >= OUTSIDE) & F.col("is").isNull(), rare_number).otherwise(F.col("w"))).groupBy("s", "w").agg(F.sum("c").alias("c"))
@@ -352,12 +428,19 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
     bits = _told(tail.select("key"))
     sent = spark.sparkContext.broadcast((keys.view(np.uint64), kind, value, bits, tree.frame, tree.shares))
     floor, depth = float(np.log10(tree.n + tree.v + 1)), tree.depth
-    names = ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "rest", "doubt"]
+    groups = PASSES * (1 + tail.count() // (PASSES * ENTRIES_OF_GROUP))
+    fields = [("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+    fields += [("doubt", pa.list_(pa.struct([("w", pa.int64()), ("f", pa.int64()), ("r", pa.int64())])))]
+    # lookups of documents from rid on: a group's different keys (n) with how often each is asked, and who asks (m)
+    fields += [("g", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("keys", pa.binary()), ("who", pa.binary())]
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, kind, value, bits, frame, shares = sent.value
         index, rid = _index(f"{frame.name}/head{len(keys)}", keys), TaskContext.get().partitionId() << 40
         value, word = np.append(value, 0.0), np.append(kind == 0, False)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        first, size = rid, 0  # of the lookups held
 
         def look(k: np.ndarray, row: np.ndarray, m: int, rest: list) -> tuple[np.ndarray, np.ndarray]:
             at = index.find(k)
@@ -367,6 +450,19 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
             rest.append((row[lost], k[lost]))
             return np.bincount(row, weights=value[at], minlength=m), np.bincount(row, weights=word[at], minlength=m)
 
+        def lookups() -> Iterator[pa.RecordBatch]:
+            who, what = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(what)
+            u, n = np.unique(what, return_counts=True)
+            who, ends = who[order], np.cumsum(n)
+            rows = []
+            for g, at in _dealt(_group_of(u, groups)):
+                m = n[at]
+                asking = np.repeat(ends[at] - np.cumsum(m), m) + np.arange(m.sum())
+                rows.append({"rid": first, "g": g, "n": len(at), "m": len(asking), "keys": pack(u[at], m), "who": pack(who[asking], differences=False)})
+            held.clear()
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
         for b in batches:
             for s, e, parts in text_groups(b.column(1)):
                 t, row, place = tokens(parts)
@@ -392,32 +488,75 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
                     if unsure.any():  # a word outside the frame: a join tells its class
                         doubt.append((r[unsure], w[unsure], *(class_keys(level, x[unsure], c).view(np.int64) for c in (True, False))))
                     total += look(word_keys(level, x[~rare], w[~rare]), r[~rare], m, rest)[0]
-                who, what = (np.concatenate(c) for c in zip(*rest, strict=True))
-                order = np.argsort(who, kind="stable")
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=m))])
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(what[order].view(np.int64)))
+                held += [(x + (rid - first), k) for x, k in rest]
+                size += sum(len(x) for x, _ in rest)
                 r, *said = (np.concatenate(c) for c in zip(*doubt, strict=True))
                 order = np.argsort(r, kind="stable")
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=m))])
                 doubts = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(c[order]) for c in said], names=["w", "f", "r"]))
-                cols = [pa.array(rid + np.arange(m)), b.column(0).slice(s, m), pa.array(np.bincount(row, minlength=m)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), lists, doubts]
+                cols = [pa.array(rid + np.arange(m)), b.column(0).slice(s, m), pa.array(np.bincount(row, minlength=m)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), doubts]
                 rid += m
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays(cols + [pa.nulls(m, f.type) for f in schema][len(cols) :], schema=schema)
+                if size > COUNTED:
+                    yield from lookups()
+                    first, size = rid, 0
+        if held:
+            yield from lookups()
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    part = materialize(d.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, rest array<long>, doubt array<struct<w:long,f:long,r:long>>"), "scores")
-    asked = int(part.agg(F.sum(F.size("rest"))).first()[0] or 0)
+    found = d.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, doubt array<struct<w:long,f:long,r:long>>, g long, n long, m long, keys binary, who binary")
+    by_pass = materialize_parts(found.withColumn("pass", F.coalesce(F.col("g") % PASSES, F.lit(-1))), "pass", range(-1, PASSES), "scores")
+    sent.destroy()
+    part = by_pass.pop(-1).drop("g", "n", "m", "keys", "who")
+    asked = int(reduce(DataFrame.union, by_pass.values()).agg(F.sum("m")).first()[0] or 0)
     passes = max(1, min(PASSES, -(-asked // LOOKUPS)))
-    summed = (F.sum(F.when(F.col("kind") == 0, F.col("value")).otherwise(0.0)).alias("words"), F.sum("value").alias("all"), F.count(F.when(F.col("kind") == 0, 1)).alias("more"))
+    tail = tail.withColumn("g", F.shiftright(F.shiftrightunsigned("key", 33) * groups, 31))
     rests = []
     for k in range(passes):
-        mine = F.pmod("key", F.lit(passes)) == k
-        rest = part.select("rid", F.explode("rest").alias("key")).where(mine).join(tail.where(mine), "key").select("rid", "kind", "value")
-        rests.append(materialize(rest.groupBy("rid").agg(*summed), "sums"))
+        mine = [by_pass[j] for j in range(k, PASSES, passes)]
+        asking = reduce(DataFrame.union, mine).select("rid", "g", "n", "m", "keys", "who")
+        answers = asking.groupBy("g").cogroup(tail.where(F.col("g") % PASSES % passes == k).groupBy("g")).applyInArrow(_answers, "rid long, n long, packed binary")
+        rests.append(materialize(answers, "sums"))
+        release(*mine)
+    rest = reduce(DataFrame.union, rests).groupBy("rid").applyInArrow(_sums, "rid long, words double, all double, more long")
     if tree.frame.others[0] is not False:
         doubt = part.select("rid", F.inline("doubt")).join(tree.others.select("w", F.lit(True).alias("is")), "w", "left")
         doubt = doubt.select("rid", F.when(F.col("is"), F.col("f")).otherwise(F.col("r")).alias("key"))
-        rests.append(doubt.join(tree.entries, "key").groupBy("rid").agg(*summed))
-    rest = reduce(DataFrame.union, rests).groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("words", "all", "more")))
-    out = part.drop("rest", "doubt").join(rest, "rid", "left")
+        is_word = F.col("kind") == 0
+        doubt = doubt.join(tree.entries, "key").groupBy("rid").agg(F.sum(F.when(is_word, F.col("value")).otherwise(0.0)).alias("words"), F.sum("value").alias("all"), F.count(F.when(is_word, 1)).alias("more"))
+        rest = rest.union(doubt).groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("words", "all", "more")))
+    out = part.drop("doubt").join(rest, "rid", "left")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base_score") + F.coalesce("words", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("all", F.lit(0.0))).alias("score"))
+
+
+def _group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    """Ranges of keys, so that differences between a group's keys are small."""
+    return ((keys >> np.uint64(33)) * np.uint64(groups) >> np.uint64(31)).astype(np.int64)
+
+
+def _answers(asking: pa.Table, entries: pa.Table) -> pa.Table:
+    """What a group's entries add to the documents that ask for them: for each row of ``asking`` packed (place of the
+    document from rid on, sum of all values, sum of words' values, number of words)."""
+    index = Index(entries.column("key").to_numpy().view(np.uint64))
+    value, word = np.append(entries.column("value").to_numpy(), 0.0), np.append(entries.column("kind").to_numpy() == 0, False)
+    out = []
+    for r in asking.to_pylist():
+        keys, often = unpack(r["n"], r["keys"], 2)
+        at = np.repeat(index.find(keys), often.astype(np.int64))
+        (who,) = unpack(r["m"], r["who"], 1, differences=False)
+        who, at = who[at >= 0].astype(np.int64), at[at >= 0]
+        docs = np.flatnonzero(np.bincount(who))
+        total, words, more = (np.bincount(who, weights=w)[docs] for w in (value[at], value[at] * word[at], word[at]))
+        if len(docs):
+            out.append({"g": r["rid"], "n": len(docs), "packed": pack(docs, total, words, more.astype(np.int64))})
+    return pa.Table.from_pylist(out, PACKED).rename_columns(["rid", "n", "packed"])
+
+
+def _sums(packed: pa.Table) -> pa.Table:
+    """The sums of answers to the same documents."""
+    rows = sorted(zip(packed.column("n").to_pylist(), packed.column("packed").to_pylist(), strict=True))  # reruns agree
+    docs, total, words, more = (np.concatenate(c) for c in zip(*(unpack(n, x, 4) for n, x in rows), strict=True))
+    docs = docs.astype(np.int64)
+    there = np.flatnonzero(np.bincount(docs))
+    total, words, more = (np.bincount(docs, weights=w)[there] for w in (total.view(np.float64), words.view(np.float64), more.astype(np.float64)))
+    return pa.table({"rid": packed.column("rid")[0].as_py() + there, "words": words, "all": total, "more": more.astype(np.int64)})

@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tests.conftest import SF
 from pyspark.sql import functions as F
@@ -626,6 +628,33 @@ def test_lookups_in_passes(spark, monkeypatch):
         assert got[doc_id].base_score == pytest.approx(base, abs=1e-9) and got[doc_id].score == pytest.approx(score, abs=1e-9)
 
 
+def test_counts_and_lookups_are_packed(spark, monkeypatch):
+    """Events and lookups travel in groups of a few bytes a row; a pass's lookups are deleted with it."""
+    rng = np.random.default_rng(3)
+    top = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
+    for cols in ((top, top[::-1]), (np.zeros(0, np.int64), np.zeros(0)), (np.arange(3), np.array([-0.5, 0.0, 1e300])), (np.array([5, 3, 9]), np.array([-1, 0, 2**40]))):
+        for differences in (True, False):
+            got = suffix_tree.unpack(len(cols[0]), suffix_tree.pack(*cols, differences=differences), len(cols), differences)
+            assert all((x.view(y.dtype) == y).all() for x, y in zip(got, cols, strict=True))
+    s, w = (np.sort(rng.integers(0, 50, 200_000)), rng.integers(0, 300, 200_000))
+    seen = Counter(zip(s.tolist(), w.tolist(), strict=True))
+    parts = list(suffix_tree._dealt_counts(iter([(s[:90_000], w[:90_000]), (s[90_000:], w[90_000:])]), 5))
+    assert sum(len(x) for b in parts for x in b.column("packed").to_pylist()) < 5 * len(seen)
+    got = {}
+    for g in range(5):
+        mine = pa.Table.from_batches(parts * 2).filter(pc.field("g") == g)  # each count twice
+        got |= {(r["s"], r["w"]): r["c"] for r in suffix_tree._adder(20, 7)(mine).to_pylist()}
+    assert got == {k: 2 * c for k, c in seen.items() if 2 * c >= 20 or k[1] == 7}
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 60, 50))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tree, made = suffix_tree.fit(df, 2), []
+    real = suffix_tree.materialize_parts
+    monkeypatch.setattr(suffix_tree, "materialize_parts", lambda *x: (made.append({k: (t, t.count()) for k, t in real(*x).items()}), {k: t for k, (t, _) in made[-1].items()})[1])
+    assert suffix_tree.score(df, tree, head=3).count() == 60
+    assert made[0][-1][1] == 60 and 0 < sum(n for k, (_, n) in made[0].items() if k >= 0) < 60  # rows of lookups; 3000 tokens
+    assert [k for k, (t, _) in made[0].items() if t in common._written] == [-1]
+
+
 def test_scratch_and_shuffles_are_given_back(spark):
     """What was shuffled for a written table goes when it is written, what the fit wrote goes but for the model."""
     import time
