@@ -410,6 +410,9 @@ def fit(train: DataFrame, depth: int = DEPTH, frame_size: int = FRAME, *, text_c
             release(written)
             frame.others.append(False if n_states <= n_framed else _told(states.where(F.col("s") >= OUTSIDE).select("s")))
         release(seen)
+        sent.destroy()
+        if often_sent is not None:
+            often_sent.destroy()
     entries = materialize(entries, "entries")
     release(*last)
     return Tree(spark, entries, n, v, frame, shares, others)
@@ -426,6 +429,8 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
     keys, kind, value = (top.column(c).to_numpy() for c in ("key", "kind", "value"))
     tail = tree.entries.where(~used).select("key", "kind", "value")
     bits = _told(tail.select("key"))
+    # a sketch with few bits set is sent small: driver and executors keep what is sent on their disks
+    bits = None if bits is None else (bits.nbytes, pa.compress(bits, codec="zstd", asbytes=True))
     sent = spark.sparkContext.broadcast((keys.view(np.uint64), kind, value, bits, tree.frame, tree.shares))
     floor, depth = float(np.log10(tree.n + tree.v + 1)), tree.depth
     groups = PASSES * (1 + tail.count() // (PASSES * ENTRIES_OF_GROUP))
@@ -437,6 +442,7 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD, *, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, kind, value, bits, frame, shares = sent.value
+        bits = None if bits is None else np.frombuffer(pa.decompress(bits[1], bits[0], codec="zstd"), np.uint64)
         index, rid = _index(f"{frame.name}/head{len(keys)}", keys), TaskContext.get().partitionId() << 40
         value, word = np.append(value, 0.0), np.append(kind == 0, False)
         held: list[tuple[np.ndarray, np.ndarray]] = []

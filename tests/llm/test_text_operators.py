@@ -655,6 +655,17 @@ def test_counts_and_lookups_are_packed(spark, monkeypatch):
     assert [k for k, (t, _) in made[0].items() if t in common._written] == [-1]
 
 
+def test_what_is_sent_is_small_and_goes(spark, monkeypatch):
+    import os
+
+    made, real = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: made.append((b := real(x), os.path.getsize(b._path))) or b)
+    df = spark.createDataFrame([(k, "a b c d e f " * 20 + f"h{k}") for k in range(40)], "doc_id long, text string")
+    assert suffix_tree.score(df, suffix_tree.fit(df, 2), head=3).count() == 40
+    assert len(made) == 4 and sum(n for _, n in made) < 1_000_000 < common.SKETCH_BITS // 8
+    assert not any(os.path.exists(b._path) for b, _ in made)
+
+
 def test_scratch_and_shuffles_are_given_back(spark):
     """What was shuffled for a written table goes when it is written, what the fit wrote goes but for the model."""
     import time
