@@ -96,7 +96,12 @@ def _abuse(words: tuple[str, ...], apart: int, close: int = 600) -> Callable[[Te
 
 
 _bullet = ("•".encode(), "‣".encode(), "▪".encode(), "●".encode(), b"- ", b"* ")
-_no_letter = re.compile(rb"(?<![^ \t-\r])[^A-Za-z\x80-\xff \t-\r]+(?![^ \t-\r])")
+_no_letter = bytes(k for k in range(128) if not (chr(k).isalpha() or _IS_SPACE[k]))
+
+
+def _without_letters(t: Text) -> int:
+    """Words without a letter: those of which nothing is left without the other characters."""
+    return t.stats.n_words - len(t.raw.translate(None, _no_letter).split())
 
 
 def _top_pair(t: Text) -> bool:
@@ -121,7 +126,7 @@ RULES = (
     Rule("bullets", lambda t: len(t.lines) >= 3 and 10 * sum(x.startswith(_bullet) for x in t.lines) > 9 * len(t.lines)),
     Rule("ellipses", lambda t: len(t.lines) >= 3 and 10 * sum(x.endswith((b"...", "…".encode())) for x in t.lines) > 3 * len(t.lines)),
     Rule("shouting", _shouts),
-    Rule("words_without_letters", lambda t: 5 * len(_no_letter.findall(t.raw)) > t.stats.n_words),
+    Rule("words_without_letters", lambda t: 5 * _without_letters(t) > t.stats.n_words),
     Rule("few_distinct_words", lambda t: t.stats.n_words >= 100 and 10 * len(set(t.words)) < t.stats.n_words),
     Rule("one_pair_of_words", _top_pair),
     Rule("digits", lambda t: 2 * sum(t.raw.count(b"%d" % k) for k in range(10)) > t.stats.word_chars),
